@@ -6,8 +6,16 @@ import importlib
 
 #: Query name -> module of this subpackage with a function of that name.
 MODULES = {
+    "op1_url_filters": "url_filters",
     "op2_sentencepiece": "sentencepieces",
+    "op3_html_extraction": "html_regions",
+    "op4_language_id": "language_mixture",
+    "op5_license_scans": "license_digests",
+    "op6_decontamination": "benchmark_wand",
     "op7_order_minhash": "order_minhash",
+    "op8_quality_classifier": "quality_neighbours",
+    "op9_secret_scans": "secret_scans",
+    "op10_media_columns": "transport_streams",
 }
 
 
