@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score and predicted; columns of these names are replaced."""
     kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = type(docs.schema)([*kept]).add("score", "double").add("predicted", "int")
+    schema = type(docs.schema)([*kept]).add("score", "double").add("predicted", "integer")
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

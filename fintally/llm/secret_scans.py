@@ -99,7 +99,7 @@ def matches(text: Column, pattern: str, kind: str, keep) -> Column:
 def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df with base and spans (arrays of spans by start, then kind), n_assign, n_access, n_hex."""
     spark, n = df.sparkSession, len(ALPHABET) + 1
-    ratios = F.array(*map(F.lit, log_ratios(spark)))
+    ratios = F.split(F.lit(",".join(map(repr, log_ratios(spark)))), ",").cast("array<double>")  # one literal, folded
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = df
     for kind, (pattern, group, least) in PATTERNS.items():
