@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
+PLANS = ("underwriting",)
+
+
+def _all(name: str) -> dict:
+    return {k: v for plan in PLANS for k, v in getattr(importlib.import_module(f"fintally.plans.{plan}"), name).items()}
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("ORACLES")
