@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting",)
+PLANS = ("underwriting", "reports")
 
 
 def _all(name: str) -> dict:
