@@ -8,8 +8,9 @@ their labelled k-mers, aligned within the band that the threshold allows, makes
 (matches / (n1 + n2 - matches)): word-shingle similarity in text order. Classes are the connected components.
 
 Scale: exact copies meet by digest in a partly aggregated group. A bucket of one sketch never emits all of its pairs:
-each is first linked to pivots of the bucket, then only pairs across classes that are still apart are tested, all of
-them. The chance that a pair of similarity 0.8 shares fewer than two of 16 sketches is about 2e-6.
+each is first tested against pivots of the bucket, then the pairs across classes that are still apart are compared in
+blocks, all of them, and only those that can pass leave a task. Buckets of a few texts are paired row by row. A pair of
+similarity 0.8 shares fewer than two of the sketches with a chance of about 2e-6.
 
 Cases: a null text is a class of its own; empty or white texts are exact copies of one another; texts of any length
 count whole; repeated rows with one doc_id are one document; a document with a null id gets the class of its text,
@@ -33,12 +34,15 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, KEPT, SHARED = 16, 2, 2
 #: Members of one pivot that meet in one task.
 PIVOT_BLOCK = 256
-PIVOT_ROUNDS = 3
-#: A bucket that is still apart after the pivots is paired row by row up to this size, and in blocks beyond it.
-SMALL_BUCKET, BLOCK = 48, 512
-#: Least hashes of a text's k-mers that a block compares: exact for shorter texts, an estimate for longer ones.
-LEAST = 384
-BINS = 8192
+#: Pivots of each bucket.
+PIVOTS = 3
+#: A bucket that is still apart after the pivots is paired row by row up to PAIRED_BUCKET texts; it shares a task with
+#: others up to SMALL_BUCKET texts (SHARED_TASK rows in all, or so), and is compared in pairs of blocks beyond.
+PAIRED_BUCKET, SMALL_BUCKET, SHARED_TASK, BLOCK = 8, 64, 4000, 512
+#: K-mers of a text that a task compares: all of shorter texts, the least hashes, as an estimate, of longer ones.
+LEAST = 2048
+#: Columns of shared k-mers that are counted at once.
+COLUMNS = 8192
 
 U = np.uint64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -183,117 +187,144 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def shared_counts(mine: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of mine shares with each of theirs; hashes are distinct within each."""
+    sides = (mine, theirs)
+    both = np.concatenate([*mine, *theirs])
+    values, place, times = np.unique(both, return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    width, cut = int((times > 1).sum()), sum(map(len, mine))
+    out = np.zeros((len(mine), len(theirs)), np.float32)
+    rows = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in sides]
+    columns = [column[:cut], column[cut:]]
+    for start in range(0, width, COLUMNS):
+        dense = []
+        for side, row, col in zip(sides, rows, columns, strict=True):
+            here = (col >= start) & (col < start + COLUMNS)
+            m = np.zeros((len(side), min(COLUMNS, width - start)), np.float32)
+            m[row[here], col[here] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def bucket_pairs(group: pd.DataFrame) -> list[tuple[int, int]]:
+    """Candidate pairs across classes between the two blocks (or within the one block) of a bucket."""
+    key, low, high = group["key"].iat[0], group["low"].iat[0], group["high"].iat[0]
+    x, y = (group, group) if low == high else (group[group["mine"] == low], group[group["mine"] == high])
+    ids, others, n, m = x["b"].to_numpy(), y["b"].to_numpy(), x["bn"].to_numpy(), y["bn"].to_numpy()
+    test = (x["bc"].to_numpy()[:, None] != y["bc"].to_numpy()[None]) & (np.minimum(n[:, None], m[None]) >= SIMILARITY * np.maximum(n[:, None], m[None]) - 1e-9)
+    if low == high:
+        test &= ids[:, None] < others[None]
+    had: dict[int, tuple[list[int], list[int]]] = {}
+    for side, keys in enumerate((x["keys"], y["keys"])):
+        for i, ks in enumerate(keys):
+            for k in ks:
+                if k >= key:
+                    break
+                had.setdefault(k, ([], []))[side].append(i)
+    for i, j in had.values():  # tested in the bucket of that key
+        if i and j:
+            test[np.ix_(i, j)] = False
+    if not test.any():
+        return []
+    mine, theirs = ([np.frombuffer(v, np.uint64) for v in side["least"]] for side in (x, y))
+    whole = (n[:, None] <= LEAST) & (m[None] <= LEAST)
+    shared = shared_counts(mine, theirs)
+    test &= ~whole | (shared >= SIMILARITY * (n[:, None] + m[None] - shared) - 1e-3)
+    classes, other_classes = x["bc"].tolist(), y["bc"].tolist()
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    found = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(test)), strict=True):
+        c, d = root(classes[i]), root(other_classes[j])
+        if c == d:  # a link found here joins their classes already
+            continue
+        u, v = mine[i], theirs[j]
+        if whole[i, j]:
+            near = aligned(u, v) > 0
+            if near:
+                parent[c] = d
+        else:  # four standard deviations below the threshold; the whole texts are aligned later
+            union = np.union1d(u, v)[:LEAST]
+            near = (np.isin(union, u) & np.isin(union, v)).mean() >= SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / len(union)) ** 0.5
+        if near:
+            found.append((min(ids[i], others[j]), max(ids[i], others[j])))
+    return found
+
+
 def block_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across classes within large buckets; rows: key, b, bn, bc, size.
+    """Candidate pairs (a, b) across classes within buckets; rows: key, b, bn, bc, size.
 
-    A bucket is dealt over pairs of blocks. A task compares the least k-mer hashes of the texts of two blocks and
-    gives only pairs that can reach the threshold, each pair in the first large bucket that it shares.
+    A large bucket is dealt over pairs of blocks, small buckets share tasks. A task holds the k-mers of a text, or the
+    least hashes of a long one, and gives only pairs that can reach the threshold, each in the first bucket that the
+    pair shares, and none between classes that its own links join already.
     """
-    schema = "doc_id long, least binary"
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             hashed, counts = kmers(part.column("text").to_pylist())
             ends = np.cumsum(counts)
-            out = [np.sort(hashed[e - c : e])[:LEAST].tobytes() for e, c in zip(ends, counts, strict=True)]
+            out = [(hashed[e - c : e] if c <= LEAST else np.sort(hashed[e - c : e])[:LEAST]).tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "least"])
 
     own = rows.groupBy("b").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    least_of = texts.join(own.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").mapInArrow(least, schema)
+    least_of = texts.join(own.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").mapInArrow(least, "doc_id long, least binary")
     full = rows.join(written(own.join(least_of.toDF("b", "least"), "b")), "b")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    full = full.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    full = full.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    full = full.withColumn("mine", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    # small buckets share tasks, of SHARED_TASK rows or so
+    groups = max(1, rows.where(F.col("size") <= SMALL_BUCKET).count() // SHARED_TASK)
+    full = full.withColumn("task", F.when(F.col("size") <= SMALL_BUCKET, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.xxhash64("key", "low", "high")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key, low, high = group["key"].iat[0], group["low"].iat[0], group["high"].iat[0]
-        x, y = group[group["mine"] == low], group[group["mine"] == high]
-        ids, others, n, m = x["b"].to_numpy(), y["b"].to_numpy(), x["bn"].to_numpy(), y["bn"].to_numpy()
-        test = (x["bc"].to_numpy()[:, None] != y["bc"].to_numpy()[None]) & (np.minimum(n[:, None], m[None]) >= SIMILARITY * np.maximum(n[:, None], m[None]) - 1e-9)
-        if low == high:
-            test &= ids[:, None] < others[None]
-        had: dict[int, tuple[list[int], list[int]]] = {}
-        for side, keys in enumerate((x["keys"], y["keys"])):
-            for i, ks in enumerate(keys):
-                for k in ks:
-                    if k >= key:
-                        break
-                    had.setdefault(k, ([], []))[side].append(i)
-        for i, j in had.values():  # tested in the bucket of that key
-            test[np.ix_(i, j)] = False
-        mine, theirs = ([np.frombuffer(v, np.uint64) for v in side["least"]] for side in (x, y))
-        # bins shared bound the hashes shared from above: whole texts that cannot reach the threshold go, block by block
-        bins, other_bins = (np.array([np.bincount((v % U(BINS)).astype(np.int64), minlength=BINS) for v in side], np.float32) for side in (mine, theirs))
-        whole = (n[:, None] <= LEAST) & (m[None] <= LEAST)
-        test &= ~whole | (bins @ other_bins.T >= SIMILARITY / (1 + SIMILARITY) * (n[:, None] + m[None]) - 1e-3)
-        found = []
-        for i, j in zip(*np.nonzero(test), strict=True):
-            u, v = mine[i], theirs[j]
-            if n[i] <= LEAST and m[j] <= LEAST:
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                near = both >= SIMILARITY * (n[i] + m[j] - both) - 1e-9
-            else:  # four standard deviations below the threshold
-                union = np.union1d(u, v)[:LEAST]
-                both = len(np.intersect1d(np.intersect1d(u, v, assume_unique=True), union, assume_unique=True))
-                near = both / len(union) >= SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / len(union)) ** 0.5
-            if near:
-                found.append((min(ids[i], others[j]), max(ids[i], others[j])))
+        found = [pair for _, bucket in group.groupby(["key", "low", "high"], sort=False) for pair in bucket_pairs(bucket)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    tasks = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    return full.repartition(tasks, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    tasks = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2  # few bytes, much work
+    return full.repartition(tasks, "task").groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
 def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest, class_id) of every text of a sketch_table; docs has the texts. class_id is the class's least doc_id."""
     copies = written(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")).where("rep is not null"))
     rows = copies.select("rep", "n", F.explode("keys").alias("key"))
-    full = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-    members = written(rows.join(full, "key"))
+    # each bucket of two texts or more, with its pivots
+    pivot = lambda k: F.min_by(F.struct("rep", "n"), F.struct(F.xxhash64("rep", F.lit(k)) if k else F.col("rep"), "rep"))
+    full = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.array(*(pivot(k) for k in range(PIVOTS))).alias("pivots")).where("size > 1"))
+    members = written(rows.join(full.select("key"), "key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     texts = written(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    edges = tested = labels = None
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b"))
-        return pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
-
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            known = members.withColumn("class", F.col("rep"))
-        else:
-            known = members.join(labels.toDF("rep", "label"), "rep", "left").select("rep", "n", "key", F.coalesce("label", "rep").alias("class"))
-        order = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
-        apart = known.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.max("class").alias("most"), F.min_by(F.struct("rep", "n", "class"), F.struct(order, "rep")).alias("pivot"))
-        apart = written(apart.where("least < most").select("key", "size", F.col("pivot.rep").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.class").alias("ac")))
-        y = known.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("class").alias("bc"))
-        if turn < PIVOT_ROUNDS:
-            met = y.join(apart, "key")
-        else:  # what is still apart within a bucket: all pairs across classes
-            y = written(y.join(apart.select("key", "size"), "key"))
-            small = y.where(F.col("size") <= SMALL_BUCKET).drop("size")
-            met = small.toDF("key", "a", "an", "ac").join(small, "key").where("a < b")
-        met = met.where((F.col("ac") != F.col("bc")) & (F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn") - 1e-9))
-        met = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-        if turn == PIVOT_ROUNDS:
-            met = met.where(F.col("shared") >= SHARED)
-        met = untested(met.select("a", "b"))
-        if turn == PIVOT_ROUNDS:  # few bytes, much work: more tasks than bytes call for
-            large = y.where(F.col("size") > SMALL_BUCKET)
-            if large.limit(1).count():
-                met = met.union(untested(block_pairs(large, texts)).select(met.columns)).distinct()
-        met = written(met)
-        if not met.limit(1).count():
-            continue
-        tested = met.select("x", "y") if tested is None else tested.union(met.select("x", "y"))
-        found = written(verified(met.select("a", "b"), texts))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-    classes = copies.select("digest", "rep")
-    if labels is None:
-        return classes.select("digest", F.col("rep").alias("class_id"))
-    return classes.join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+    fits = F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn") - 1e-9
+    met = members.join(full.select("key", F.inline(F.array_distinct("pivots")).alias("a", "an")), "key")
+    met = met.select("a", "an", F.col("rep").alias("b"), F.col("n").alias("bn")).where((F.col("a") != F.col("b")) & fits)
+    # a pair of similarity 0.8 shares fewer than SHARED sketches with a chance of about 2e-6
+    of = copies.select("rep", "keys")
+    met = met.select("a", "b").distinct().join(of.toDF("a", "ak"), "a").join(of.toDF("b", "bk"), "b")
+    met = written(met.where(F.size(F.array_intersect("ak", "bk")) >= SHARED).select("a", "b"))
+    edges = written(verified(met, texts))
+    labels = components(edges)
+    # buckets whose texts are still apart: all other pairs across classes
+    known = members.join(labels.toDF("rep", "label"), "rep", "left").select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.coalesce("label", "rep").alias("bc"))
+    apart = known.groupBy("key").agg(F.count("*").alias("size"), F.min("bc").alias("least"), F.max("bc").alias("most")).where("least < most").select("key", "size")
+    known = written(known.join(written(apart), "key"))
+    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = known.where(F.col("size") <= PAIRED_BUCKET).drop("size")
+    pairs = few.toDF("key", "a", "an", "ac").join(few, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))).where(F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn") - 1e-9)
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
+    many = block_pairs(known.where(F.col("size") > PAIRED_BUCKET), texts)
+    more = written(pairs.union(many).distinct().join(tested, ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        found = written(verified(more, texts))
+        labels = components(edges.union(found))
+    return copies.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
