@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting", "reports")
+PLANS = ("underwriting", "reports", "workflow")
 
 
 def _all(name: str) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fintally import catalog
 from fintally.functions import money
-from fintally.operators import gates, ledger, loans, scoring, text
+from fintally.operators import gates, ledger, loans, scoring, text, workflow
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,6 +69,38 @@ def test_swings_need_adjacent_years(spark):
     assert [(r["period_label"], r["delta_cents"], r["blocking"]) for r in gates.swings(df).collect()] == [("FY2001", 400, False)]
 
 
+def test_names_by_hand():
+    for a, b, want in (("MARTHA", "MARHTA", 0.9611), ("DWAYNE", "DUANE", 0.84), ("DIXON", "DICKSONX", 0.8133), ("", "", 1.0), ("a", "", 0.0), ("abc", "xyz", 0.0)):
+        assert round(workflow.jaro_winkler(a, b), 4) == want
+
+
+def test_write_plan_by_hand(spark):
+    paths = "document_id long, field string, cents long, readable boolean"
+    fields = spark.createDataFrame([(1, f) for f in "abcdefg"], "document_id long, field string")
+    one = spark.createDataFrame([(1, f, 5, True) for f in "abcdf"] + [(1, "g", 5, False)], paths)
+    two = spark.createDataFrame([(1, f, 5, True) for f in "abcfg"] + [(1, "d", 6, True)], paths)
+    live = spark.createDataFrame([(1, "a", "fa", 5, False), (1, "b", "fb", 4, False), (1, "f", "ff", 4, True)], "document_id long, field string, fact_id string, value_cents long, human boolean")
+    got = {r["field"]: (r["action"], r["new_cents"], r["superseded_id"]) for r in workflow.plan_writes(workflow.reconcile(fields, one, two), live).collect()}
+    none = (None, None)
+    assert got == {"a": ("unchanged", *none), "b": ("supersede", 5, "fb"), "c": ("insert", 5, None), "d": ("review", *none), "e": ("nothing", *none), "f": ("human_decided", *none), "g": ("review", *none)}
+
+
+def test_spans_and_policy_by_hand(spark):
+    pages = spark.createDataFrame([(1, p, f) for p, f in enumerate([None, "k1", None, "k1", "w2", None, "k1"], 1)], "bundle_id long, page long, family string")
+    assert [tuple(r)[2:] for r in workflow.page_spans(pages).orderBy("page_start").collect()] == [(1, 1, None), (2, 4, "k1"), (5, 6, "w2"), (7, 7, "k1")]
+    deals = spark.createDataFrame([(1, 10, {"dscr": 130}), (2, 90, {"dscr": 120}), (3, 10, {})], "deal_id long, amount long, metrics map<string, long>")
+    got = workflow.evaluate_policy(deals, [("cover", "dscr", "gte", 125, None), ("small", "dscr", "lte", 200, 50)])
+    assert {(r["deal_id"], r["rule"]): (r["status"], r["margin"]) for r in got.collect()} == {(1, "cover"): ("pass", 5), (1, "small"): ("pass", 70), (2, "cover"): ("fail", -5), (3, "cover"): ("not_evaluable", None), (3, "small"): ("not_evaluable", None)}
+    assert {r["deal_id"]: r["overall"] for r in workflow.policy_outcome(got).collect()} == {1: "pass", 2: "fail", 3: "incomplete"}
+
+
+def test_regressions_by_hand(spark):
+    schema = "level string, name string, precision_points long, recall_points long"
+    old = spark.createDataFrame([("all", "", 9900, 9900), ("form", "a", 9900, 9900), ("form", "b", 9900, None)], schema)
+    new = spark.createDataFrame([("all", "", 9880, 9879), ("form", "b", 9950, None)], schema)
+    assert {(r["level"], r["name"]): (r["precision_fell"], r["recall_fell"]) for r in workflow.regressions(old, new).collect()} == {("all", ""): (False, True), ("form", "a"): (True, True)}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toArrow()
