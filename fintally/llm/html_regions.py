@@ -2,9 +2,11 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; a linear scan finds the contiguous
 region with the greatest sum. The weights come from labelled pages: for each tag, how often it stands outside against
-inside of the marked article, and likewise for the words of each kind of container; words of a container that stand
-mostly outside score nothing. Within the region the text of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments is left out.
+inside of the marked article, and likewise for the words of each kind of container. Tags within menus, adverts and
+the like are counted apart from the same tags in running text. Words of a marked container (by class, id or role)
+that stand mostly outside score nothing. In the article (or main, if there is no article) tags cost nothing, so that no
+list, table or link cuts it. Within the region the text of menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments is left out.
 
 Blocks follow page order, joined by one space; white space within a block is one space; character references are
 decoded; nothing else is dropped or capped.
@@ -38,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset("nav header footer aside form div section article main ul ol dl table menu figure fieldset dialog body template noscript".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog template noscript button select textarea".split())
 MAIN = frozenset(("article", "main"))
+#: Parts of lists and tables; like inline tags they are no sign of an end unless the labelled pages say so.
+FLOW = INLINE | frozenset("ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr td th p br".split())
 # Words of class, id and role that mark what is not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|discussion|replies|disqus|"
@@ -50,28 +54,33 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 
 class Token:
-    """A piece of text (words > 0 or white space) or a tag, with the kind of its container."""
+    """A piece of text (words > 0 or white space) or a tag, with the kind of its container; home is 2 in an article, 1 in main."""
 
-    __slots__ = ("boilerplate", "context", "tag", "text", "words")
+    __slots__ = ("boilerplate", "context", "home", "tag", "text", "words")
 
-    def __init__(self, tag: str, text: str, words: int, context: str, boilerplate: bool):
-        self.tag, self.text, self.words, self.context, self.boilerplate = tag, text, words, context, boilerplate
+    def __init__(self, tag: str, text: str, words: int, context: str, boilerplate: bool, home: int):
+        self.tag, self.text, self.words, self.context, self.boilerplate, self.home = tag, text, words, context, boilerplate, home
+
+    @property
+    def key(self) -> str:
+        """The tag as it is counted: apart if it belongs to a menu, an advert and the like."""
+        return f"~{self.tag}" if self.boilerplate else self.tag
 
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = [("body", "body", False)]  # name, kind, boilerplate
+    stack: list[tuple[str, str, bool, int]] = [("body", "body", False, 0)]  # name, kind, boilerplate, home
     for m in TOKEN.finditer(page):
         raw = m.group()
-        _, kind, plain = stack[-1]
+        _, kind, plain, home = stack[-1]
         if raw[0] != "<" or raw == "<":
             text = html.unescape(raw)
-            out.append(Token("", text, len(text.split()), kind, plain))
+            out.append(Token("", text, len(text.split()), kind, plain, home))
             continue
         if raw.startswith(("<!", "<?")):
             continue
         if m.group(1):  # its content is no text of the page
-            out.append(Token(m.group(1).lower(), "", 0, kind, plain))
+            out.append(Token(m.group(1).lower(), "", 0, kind, plain, home))
             continue
         found = NAME.match(raw)
         name = found.group(1).lower() if found else ""
@@ -80,31 +89,32 @@ def tokens(page: str) -> list[Token]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            out.append(Token("/" + name, "", 0, kind, plain))
+            out.append(Token("/" + name, "", 0, kind, plain, home))
             continue
         marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(raw))
         own = f"{name}.{marks.lower()}" if marks and name not in INLINE else name
         if name in CONTAINERS and not raw.endswith("/>"):
+            outer = plain
             if name in MAIN:
                 plain = False
             else:
                 inside = any(s[0] in MAIN for s in stack)
                 plain = plain or name in BOILERPLATE or (name == "header" and not inside) or bool(MARKS.search(marks))
-            stack.append((name, own, plain))
+            stack.append((name, own, plain, max(home, {"article": 2, "main": 1}.get(name, 0)) if not (name in MAIN and outer) else 0))
         elif name in BOILERPLATE:
             plain = True
-        out.append(Token(own if name in CONTAINERS else name, "", 0, kind, plain))
+        out.append(Token(own if name in CONTAINERS else name, "", 0, kind, plain, home))
     return out
 
 
 def outside_and_inside(page: str) -> tuple[Counter, Counter]:
-    """Counts of tags, and of words by container, outside and inside of the page's article element."""
+    """Counts of tags, and of words by container, outside and inside of the page's article element; boilerplate tags apart."""
     counts, inside = (Counter(), Counter()), 0
     for t in tokens(page):
         if t.tag == "/article":
             inside = 0
-        key, n = (t.tag, 1) if t.tag else (f"words in {t.context}", t.words)
-        if n:
+        key, n = (t.key, 1) if t.tag else (f"words in {t.context}", t.words)
+        if n and (t.tag or not t.boilerplate):
             counts[inside][key] += n
         if t.tag.split(".")[0] == "article":
             inside = 1
@@ -117,16 +127,30 @@ class Weights:
     def __init__(self, outside: dict[str, int], inside: dict[str, int]):
         odds = {k: math.log((outside.get(k, 0) + 0.5) / (inside.get(k, 0) + 0.5)) for k in {*outside, *inside}}
         self.tag = {k: -min(HEAVIEST, max(LIGHTEST, x)) for k, x in odds.items() if not k.startswith("words in ")}
-        self.mute = {k.removeprefix("words in ") for k, x in odds.items() if k.startswith("words in ") and x > 0} - MAIN
+        # an element's name alone never mutes its words
+        self.mute = {k.removeprefix("words in ") for k, x in odds.items() if k.startswith("words in ") and "." in k and x > 0}
+        self.mute = {k for k in self.mute if k.split(".")[0] not in MAIN}
         self.unseen = -0.5
 
+    def weight(self, t: Token) -> float:
+        """The weight of a tag that stands outside of the marked article."""
+        name = t.tag.split(".")[0]
+        known = self.tag.get(t.key, self.tag.get(f"~{name}" if t.boilerplate else name))
+        if known is not None:
+            return known
+        return -HEAVIEST if t.boilerplate else -LIGHTEST if name.removeprefix("/") in FLOW else self.unseen
+
+    def muted(self, t: Token) -> bool:
+        return t.boilerplate or (not t.home and t.context in self.mute)
+
     def region(self, seq: list[Token]) -> tuple[int, int]:
         """Begin and end of the contiguous tokens with the greatest sum, by one scan."""
         best, span, total, start = 0.0, (0, 0), 0.0, 0
+        home = 2 if any(t.home == 2 and t.words and not t.boilerplate for t in seq) else 1
         for i, t in enumerate(seq):
             if t.tag:
-                total += self.tag.get(t.tag, self.tag.get(t.tag.split(".")[0], self.unseen) if not t.boilerplate else -HEAVIEST)
-            elif not t.boilerplate and t.context not in self.mute:
+                total += self.weight(t) if t.home < home else 0.0
+            elif not self.muted(t):
                 total += WORD * t.words
             if total < 0:
                 total, start = 0.0, i + 1
@@ -146,7 +170,7 @@ class Weights:
                 if t.tag.removeprefix("/").split(".")[0] not in INLINE:
                     blocks.append("".join(block))
                     block = []
-            elif not t.boilerplate and t.context not in self.mute:
+            elif not self.muted(t):
                 block.append(t.text)
         return " ".join(w for b in [*blocks, "".join(block)] for w in b.split())
 

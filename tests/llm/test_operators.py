@@ -116,6 +116,17 @@ def test_extraction_equals_marked_articles(spark):
         assert r["text"] == " ".join(want.split())
 
 
+def test_articles_keep_lists_tables_and_links(spark):
+    rows = "".join(f"<tr><td>r{i}</td><td>v{i}</td></tr>" for i in range(60))
+    items = "".join(f"<li><a href=x>i{i}</a></li>" for i in range(60))
+    body = f"<h1>Head</h1><p>First words here.</p><ul>{items}</ul><aside><ul><li>no</li><li>no</li></ul></aside><table><tr><th>k</th></tr>{rows}</table><p><a>l1</a> <a>l2</a> <a>l3</a> end</p>"
+    nav = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>More</a></li></ul></nav><div class=ad>Buy now</div>"
+    pages = {100: f"<body>{nav}<article>{body}</article><footer><ul><li>foot</li></ul></footer></body>", 101: f"<body>{nav}<main>{body}</main><footer>foot</footer></body>", 102: f"<body>{nav}<div class=text>{body}</div><footer>foot</footer></body>"}
+    weights = html_regions.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    want = " ".join(["Head First words here.", *(f"i{i}" for i in range(60)), "k", *(f"r{i} v{i}" for i in range(60)), "l1 l2 l3 end"])
+    assert {k: weights.extract(p) for k, p in pages.items()} == dict.fromkeys(pages, want)
+
+
 # 4 languages, 8 quality
 
 
