@@ -18,6 +18,14 @@ def best_facts(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.groupBy(*by).agg(F.min_by(F.struct("id", "method", "value_cents"), order).alias("best")).select(*by, "best.*")
 
 
+def spread(facts: DataFrame) -> DataFrame:
+    """A row for each entity, node and period found: the best accepted fact, else the best suggested one; other states never show."""
+    open_facts = facts.where("status in ('accepted', 'suggested') and node is not null")
+    order = F.struct(F.col("status") != "accepted", -F.col("rank"), "created_at", "id")
+    found = open_facts.groupBy("entity_id", "node", "period_label").agg(F.min_by(F.struct("id", "method", "status", "value_cents"), order).alias("best"))
+    return found.select("entity_id", "node", "period_label", "best.*")
+
+
 def ledger(best: DataFrame, nodes: tuple[str, ...] = NODES) -> DataFrame:
     """A row for each (entity, period) with a column for each node, in one aggregation."""
     return best.groupBy("entity_id", "period_label").agg(*(F.max(F.when(F.col("node") == n, F.col("value_cents"))).alias(n) for n in nodes))

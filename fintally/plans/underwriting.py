@@ -69,11 +69,16 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each entity and node, a column for each fiscal year."""
+    """One row for each entity and node, a column for each fiscal year of its SQL twin: accepted facts only (see spread_cells)."""
     cells = best(spark, sf_dir).groupBy("entity_id", "node").pivot("period_label", [f"FY{y}" for y in range(1995, 2002)]).agg(F.max("value_cents"))
     return cells
 
 
+def spread_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole spread in long rows: accepted facts before suggested ones, every period found."""
+    return ledger.spread(facts(spark, sf_dir))
+
+
 def verified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A06: whether all values of a cell with a transcript equal it, in distinct values."""
     f = facts(spark, sf_dir).where("status <> 'rejected'")
@@ -171,6 +176,7 @@ QUERIES = {
     "e18_confidence": scored,
     "e34_threshold_sweep": sweep,
     "e25_spread": spread,
+    "e25_spread_cells": spread_cells,
     "a06_transcript_cells": verified_cells,
 }
 
@@ -186,6 +192,7 @@ ORACLES = {
     "a12_blocked_facts": f"{_HEAD},\n{_ISSUES} SELECT DISTINCT unnest(string_split(fact_ids, ',')) AS fact_id FROM issues WHERE blocking",
     "e18_confidence": f"{_HEAD},\n{_SIGNALS} SELECT {_DECIDE.format(t=75)} AS decision, NOT blocked AND p1 IS NULL AND p2 IS NULL AS agreed_absent, count(*) AS n, CAST(sum(points) AS BIGINT) AS confidence_points FROM signals GROUP BY ALL",
     "e34_threshold_sweep": f"{_HEAD},\n{_SIGNALS}, t AS (SELECT unnest(range(30, 100, 5)) AS t) SELECT CAST(t AS INTEGER) AS threshold_points, count(*) FILTER (WHERE {_DECIDE.format(t='t')} = 'auto_accept') AS accepted, count(*) FILTER (WHERE {_DECIDE.format(t='t')} = 'auto_accept' AND p1 IS NOT NULL) AS accepted_values, count(*) AS n FROM signals, t GROUP BY t",
+    "e25_spread_cells": f"{_HEAD} SELECT entity_id, node, period_label, id, method, status, value_cents FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, node, period_label ORDER BY status <> 'accepted', rank DESC, created_at, id) AS p FROM ranked WHERE status IN ('accepted', 'suggested')) WHERE p = 1",
     "e25_spread": f"{_HEAD} SELECT entity_id, node, " + ", ".join(f"max(CASE WHEN period_label = 'FY{y}' THEN value_cents END) AS \"FY{y}\"" for y in range(1995, 2002)) + " FROM best GROUP BY entity_id, node",
     "a06_transcript_cells": f"{_HEAD} SELECT entity_id, period_label, node, count(DISTINCT value_cents) AS n_values, max(CASE WHEN method = 'transcript' THEN 1 ELSE 0 END) AS has_transcript FROM ranked WHERE status <> 'rejected' GROUP BY ALL",
 }

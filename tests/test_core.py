@@ -101,6 +101,12 @@ def test_regressions_by_hand(spark):
     assert {(r["level"], r["name"]): (r["precision_fell"], r["recall_fell"]) for r in workflow.regressions(old, new).collect()} == {("all", ""): (False, True), ("form", "a"): (True, True)}
 
 
+def test_spread_shows_suggested_facts_and_every_period(spark):
+    rows = [("a", "FY2030", "accepted", 0, 1), ("b", "FY2030", "suggested", 4, 2), ("c", "FY1980", "suggested", 0, 3), ("d", "FY1980", "suggested", 1, 4), ("e", "FY1980", "rejected", 4, 5), ("f", "TTM 2024-06", "overridden", 4, 6)]
+    df = spark.createDataFrame([(i, 1, p, "is.net_income", "m", s, v, "2024", r) for i, p, s, r, v in rows], "id string, entity_id long, period_label string, node string, method string, status string, value_cents long, created_at string, rank int")
+    assert {(r["period_label"], r["id"], r["status"], r["value_cents"]) for r in ledger.spread(df).collect()} == {("FY2030", "a", "accepted", 1), ("FY1980", "d", "suggested", 4)}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toArrow()
