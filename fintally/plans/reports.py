@@ -90,13 +90,23 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_label(F.concat(F.lit("4010  Total for "), "p_name", F.lit(" (net)"))).alias("label"))
 
 
+def most_similar(customers: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """The most similar supplier name of each customer name, of all suppliers (ties: least key); no row without a name.
+
+    Every distinct name meets every other. Customer names are dealt out by hash, so that the pairs of a task are
+    its share of the names times the suppliers, and each name's pairs are reduced where they are made.
+    """
+    parts = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = customers.select("c_custkey", F.lower("c_name").alias("a")).where("a is not null")
+    s = suppliers.select("s_suppkey", F.lower("s_name").alias("n")).where("n is not null").groupBy("n").agg(F.min("s_suppkey").alias("s_suppkey"))
+    names = c.select("a").repartition(parts, "a").distinct()
+    pairs = names.crossJoin(s).select("a", "s_suppkey", text.similarity_points(F.col("a"), F.col("n")).alias("points"))
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("points")).alias("minus"), "s_suppkey")).alias("m"))
+    return c.join(best, "a").select("c_custkey", "m.s_suppkey", (-F.col("m.minus")).alias("points"))
+
+
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar supplier name of each customer name in a block of names of equal last digit (ties: least key)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("a"), (F.col("c_custkey") % 10).alias("b"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("n"), (F.col("s_suppkey") % 10).alias("b"))
-    p = text.similarity_points(F.lower("a"), F.lower("n"))
-    best = c.join(s, "b").select("c_custkey", "s_suppkey", p.alias("points")).groupBy("c_custkey").agg(F.min(F.struct(-F.col("points"), "s_suppkey")).alias("m"))
-    return best.select("c_custkey", "m.s_suppkey", (-F.col("m.col1")).alias("points"))
+    return most_similar(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"))
 
 
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:

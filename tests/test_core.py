@@ -107,6 +107,14 @@ def test_spread_shows_suggested_facts_and_every_period(spark):
     assert {(r["period_label"], r["id"], r["status"], r["value_cents"]) for r in ledger.spread(df).collect()} == {("FY2030", "a", "accepted", 1), ("FY1980", "d", "suggested", 4)}
 
 
+def test_similar_names_meet_every_supplier(spark):
+    from fintally.plans import reports
+
+    customers = spark.createDataFrame([(1, "Acme Bakery"), (12, "acme bakery"), (3, "Zeta Tools"), (4, None)], "c_custkey long, c_name string")
+    suppliers = spark.createDataFrame([(7, "Acme Bakery"), (9, "ACME BAKERY"), (1, "Other"), (3, "Beta Tools"), (5, None)], "s_suppkey long, s_name string")
+    assert sorted(map(tuple, reports.most_similar(customers, suppliers).collect())) == [(1, 7, 10_000), (3, 3, 9_000), (12, 7, 10_000)]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, name):
     got = catalog.queries()[name](spark, SF).toArrow()
