@@ -1,8 +1,9 @@
 """Secret scans with Spark SQL functions only.
 
 Base spans are the matches of three fixed patterns. Further spans come from two first-order Markov models of
-characters, one of random strings and one of ordinary identifiers, both trained from labelled samples: a run of key
-characters is added if its log-likelihood ratio is above MARGIN and it meets no base span.
+characters, one of random strings and one of ordinary identifiers, both trained from labelled samples. A run of key
+characters is added if its log-likelihood ratio is above MARGIN, else those stretches of it that are; ordinary text
+before or behind a secret in the same run doesn't hide it. What base spans cover is cut off an added span.
 
 Positions are code points, ends exclusive. A pattern's matches come from regexp_extract_all, the text between them
 from split, and running lengths give the positions; both use one leftmost, non-overlapping scan.
@@ -30,8 +31,8 @@ PATTERNS = {
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Characters of the models; any other counts as the last.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-#: Least log-likelihood ratio, in nats, of an added span.
-MARGIN = 12.0
+#: Least log-likelihood ratio, in nats, of an added span, and its least length of a stretch before base spans are cut off.
+MARGIN, LEAST = 12.0, 20
 
 # Words of ordinary identifiers, for the labelled samples.
 WORDS = """account address amount array balance batch buffer builder cache calendar channel client cluster column config
@@ -106,18 +107,66 @@ def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
         long_enough = lambda hit, p=pattern, g=group, m=least: F.length(F.regexp_extract(hit, p, g)) >= m
         found = found.withColumn(f"_{kind}", matches(text, pattern, kind, long_enough))
 
-    def ratio(hit: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(1), F.length(hit) - 1), lambda i: F.element_at(ratios, _code(hit, i) * n + _code(hit, i + 1) + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+    def steps(hit: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(hit) - 1), lambda i: F.element_at(ratios, _code(hit, i) * n + _code(hit, i + 1) + 1))
 
     found = found.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in PATTERNS))))
-    found = found.withColumn("_markov", matches(text, CANDIDATE, "markov", lambda hit: ratio(hit) > MARGIN))
-    apart = F.filter("_markov", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    found = found.withColumn("_runs", matches(text, CANDIDATE, "markov", lambda hit: F.lit(True)))
+    found = found.withColumn("_markov", F.flatten(F.transform("_runs", lambda r: F.transform(stretches(steps(r["hit"]), r["hit"]), lambda s: _part(r, r["start"] + s["start"], r["start"] + s["end"])))))
+    apart = F.flatten(F.transform("_markov", lambda x: _clipped(x, F.col("_base"))))
     kept = [c for c in df.columns if c not in {"base", "spans", "n_assign", "n_access", "n_hex"}]
     sizes = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
     return found.select(*kept, F.col("_base").alias("base"), F.array_sort(F.concat("_base", apart)).alias("spans"), *sizes)
 
 
+def stretches(steps: Column, hit: Column) -> Column:
+    """array<struct<start, end>> of the stretches of a run, from the log-ratios of its pairs of neighbours, by one scan.
+
+    A run above MARGIN is one stretch. Otherwise a stretch begins where the sum is at its least and ends where it is
+    greatest; it is over once the sum has fallen by MARGIN from there, or to where it began, and what comes next is scored
+    afresh. A stretch above MARGIN is widened to the separators around it and kept if it has LEAST characters then.
+    """
+    pair = "struct<start:int,end:int>"
+    state = f"struct<at:int,start:int,sum:double,best:double,end:int,whole:double,out:array<{pair}>>"
+    begin = F.struct(*(F.lit(0).alias(k) for k in ("at", "start", "sum", "best", "end", "whole")), F.array().alias("out")).cast(state)
+
+    def kept(a: Column) -> Column:
+        left = a["start"] - F.length(F.regexp_extract(F.substring(hit, F.lit(1), a["start"]), "[^/_-]*$", 0))
+        right = a["end"] + F.length(F.regexp_extract(F.substring(hit, a["end"] + 1, F.length(hit)), "^[^/_-]*", 0))
+        last = F.try_element_at(a["out"], F.lit(-1))
+        meets = F.coalesce(last["end"] >= left, F.lit(False))  # widened stretches of one piece are one
+        new = F.array(F.struct(F.when(meets, F.least(last["start"], left)).otherwise(left).alias("start"), F.greatest(right, last["end"]).alias("end")).cast(pair))
+        before = F.when(meets, F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0)))).otherwise(a["out"])
+        return F.when((a["best"] > MARGIN) & (right - left >= LEAST), F.concat(before, new)).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        total, at, whole = a["sum"] + x, a["at"] + 1, (a["whole"] + x).alias("whole")
+        over = (total <= 0) | (total < a["best"] - MARGIN)
+        fresh = F.struct(at.alias("at"), at.alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), at.alias("end"), whole, kept(a).alias("out"))
+        end = F.when(total > a["best"], at + 1).otherwise(a["end"])
+        on = F.struct(at.alias("at"), a["start"].alias("start"), total.alias("sum"), F.greatest(total, a["best"]).alias("best"), end.alias("end"), whole, a["out"].alias("out"))
+        return F.when(over, fresh.cast(state)).otherwise(on.cast(state))
+
+    entire = F.array(F.struct(F.lit(0).alias("start"), F.length(hit).alias("end")).cast(pair))
+    return F.aggregate(steps, begin, step, lambda a: F.when(a["whole"] > MARGIN, entire).otherwise(kept(a)))
+
+
+def _part(span: Column, start: Column, end: Column) -> Column:
+    """The part of a span from start to end."""
+    hit = F.substring(span["hit"], start - span["start"] + 1, end - start)
+    return F.struct(start.alias("start"), span["rank"].alias("rank"), end.alias("end"), span["kind"].alias("kind"), hit.alias("hit"))
+
+
+def _clipped(span: Column, base: Column) -> Column:
+    """The parts of a span that no base span (sorted by start) covers."""
+    meets = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    kind_of = "struct<at:int,out:array<struct<start:int,rank:int,end:int,kind:string,hit:string>>>"
+    begin = F.struct(span["start"].alias("at"), F.array().alias("out")).cast(kind_of)
+    upto = lambda acc, end: F.when(end > acc["at"], F.array_append(acc["out"], _part(span, acc["at"], end))).otherwise(acc["out"])
+    parts = F.aggregate(meets, begin, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), upto(acc, b["start"]).alias("out")).cast(kind_of), lambda acc: upto(acc, span["end"]))
+    return F.when(F.size(meets) > 0, parts).otherwise(F.array(span))
+
+
 def _code(hit: Column, i: Column) -> Column:
     at = F.instr(F.lit(ALPHABET), F.substring(hit, i, F.lit(1)))
     return F.when(at > 0, at - 1).otherwise(len(ALPHABET))

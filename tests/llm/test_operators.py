@@ -283,6 +283,17 @@ def test_secrets(spark, awkward):
     assert secret_scans.redacted(awkward).columns == awkward.columns and secret_scans.redacted(awkward).count() == awkward.count()
 
 
+def test_secrets_behind_ordinary_text(spark):
+    key, key2, hexed = "Zk3hP0vQ9sLr2TtYwB7nXcD4eF6gH8jK", "q8Xw2LpZ7rVt5NbM1kJh9GfD3sAy6UeC", "f3ef4d6b2755a36d7d9c25bd"
+    path = "/account/settings/profile/history/download/"
+    texts = [path + key, path * 3 + key + path * 3, key + path * 2 + key2, key + hexed + key2, path * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in secret_scans.redacted(df).collect()}
+    assert all(k[2:-2] not in t for t in clean.values() for k in (key, key2, hexed))
+    assert not any(c in clean[3].replace("[SECRET]", "") for c in "Zk3hqX")
+    assert clean[4] == texts[4] and all(clean[i].count("account") >= n for i, n in ((0, 1), (1, 5)))
+
+
 # 10 transport streams
 
 
