@@ -9,7 +9,8 @@ threshold. A hit is a leak if at least OVERLAP of the
 five-word windows of the item's question and of its answer stand in the passage. The answer is the item's last
 sentence, the question what precedes it; a single sentence is halved.
 
-The index is broadcast for at most ITEMS test items at once; a larger benchmark is searched in several such blocks.
+The index is broadcast for at most ITEMS test items at once; a larger benchmark is dealt by row number and searched in
+one pass for each such block. All blocks share the statistics of the whole benchmark, so that scores don't depend on it.
 
 Cases: null or empty texts have no passages; texts count whole; items without a word are never found; repeated items
 and repeated documents give repeated rows; an empty benchmark finds nothing. Extra columns are ignored.
@@ -21,13 +22,14 @@ import bisect
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fintally.llm.common import slices, table
+from fintally.llm.common import slices, table, written
 
 THRESHOLD, OVERLAP, WORDS = 0.5, 0.8, 5
 K1, B = 1.2, 0.75
@@ -61,14 +63,14 @@ def parts(text: str) -> tuple[list[str], list[str]]:
 class ItemIndex:
     """Inverted index of test items: postings by item number, in blocks with their greatest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
+        """whole: number of items, words and longest item of the whole benchmark, and in how many items each term is."""
         self.items = items
         counted = [Counter(words(text or "")) for _, text in items]
         sizes = [sum(c.values()) for c in counted]
-        self.longest = max(sizes, default=0)
-        mean = max(1.0, sum(sizes) / max(1, len(sizes)))
-        df = Counter(t for c in counted for t in c)
-        idf = {t: float(np.log1p((len(items) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+        size, n_words, self.longest, df = whole or (len(items), sum(sizes), max(sizes, default=0), Counter(t for c in counted for t in c))
+        mean = max(1.0, n_words / max(1, size))
+        idf = {t: float(np.log1p((size - df[t] + 0.5) / (df[t] + 0.5))) for t in {t for c in counted for t in c}}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, c in enumerate(counted):
             weight = {t: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[i] / mean)) for t, n in c.items()}
@@ -185,42 +187,80 @@ class ItemIndex:
         return len(own & seen) / len(own)
 
 
-def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of at most ITEMS test items each."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, term, size) of the distinct terms of each item; the null term once for each item, with its words."""
+    for part in slices(batches):
+        blocks, terms, sizes = [], [], []
+        for block, text in zip(part.column("block").to_pylist(), part.column("text").to_pylist(), strict=True):
+            ws = words(text)
+            own = [None, *set(ws)]
+            blocks += [block] * len(own)
+            terms += own
+            sizes += [len(ws)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], names=["block", "term", "size"])
+
+
+def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
+    """Indexes of at most ITEMS test items each, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    blocks = max(1, -(-items.count() // ITEMS))
-    if blocks == 1:
-        chunks = [items]
-    else:
-        dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * blocks)))
-        chunks = [dealt.where(F.col("_block") == k).drop("_block") for k in range(2 * blocks)]
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(ItemIndex(sorted((r[0] or 0, r[1]) for r in chunk.collect()))) for chunk in chunks]
+    n = items.count()
+    if n <= ITEMS:
+        yield ItemIndex(sorted((r[0] or 0, r[1]) for r in items.collect()))
+        return
+    numbered = items.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] // ITEMS))
+    dealt = written(benchmark.sparkSession.createDataFrame(numbered, "item_id long, text string, block long"))
+    terms = written(dealt.select("block", "text").mapInArrow(_counted, "block long, term string, size long").groupBy("block", "term").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")))
+    n_words, longest = terms.where("term is null").agg(F.sum("words"), F.max("longest")).first()
+    every = written(terms.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")))
+    for k in range(-(-n // ITEMS)):
+        df = {r[0]: r[1] for r in every.join(terms.where(F.col("block") == k).select("term"), "term").collect()}  # terms of ITEMS items
+        own = sorted((r[0] or 0, r[1]) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect())
+        yield ItemIndex(own, (n, n_words, longest, df))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, step) -> Iterator[DataFrame]:
+    """step(docs, broadcast index) for each index; with several, each pass is written before the next index is made."""
+    context, one = benchmark.sparkSession.sparkContext, benchmark.where("text is not null").limit(ITEMS + 1).count() <= ITEMS
+    for index in indexes(benchmark):
+        given = context.broadcast(index)
+        out = step(docs, given)
+        if one:
+            yield out
+        else:
+            yield written(out)
+            given.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leak of a test item into a document."""
-    given = indexes(benchmark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows = [(d, index.value.items[i][0], s, q, a) for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for index in given for i, s, q, a in index.value.leaks(text)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def step(docs: DataFrame, given) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                rows = [(d, given.value.items[i][0], s, q, a) for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for i, s, q, a in given.value.leaks(text)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, _passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, step))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents into which a test item leaks; one pass, no shuffle."""
-    given = indexes(benchmark)
+    """docs without the documents into which a test item leaks; one pass for each index, no shuffle."""
+
+    def step(_: DataFrame, given) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                yield part.filter(pa.array([not given.value.leaks(text) for text in part.column("text").to_pylist()], pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield part.filter(pa.array([not any(index.value.leaks(text) for index in given) for text in part.column("text").to_pylist()], pa.bool_()))
+        return kept[-1].mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = [docs]
+    for out in _passes(docs, benchmark, step):
+        kept.append(out)
+    return kept[-1]
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,16 @@ def test_leaks_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in benchmark_wand.op6_decontamination(spark, SF).collect()} == want
 
 
+def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: (sorted(map(tuple, benchmark_wand.leaks(docs, items).collect())), sorted(r["doc_id"] for r in benchmark_wand.decontaminated(docs, items).collect()))
+    want = found()
+    monkeypatch.setattr(benchmark_wand, "ITEMS", 7)
+    got = found()
+    assert got[1] == want[1] and [x[:2] for x in got[0]] == [x[:2] for x in want[0]]
+    assert all(x[2:] == pytest.approx(y[2:]) for x, y in zip(got[0], want[0], strict=True))
+
+
 # 7 near duplicates
 
 
