@@ -36,6 +36,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Deletes the files behind a table that written() returned; a union of such tables loses all of them. Nothing may read it later."""
+    spark, seen = df.sparkSession, set()
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("fintally-") and path.toString() not in seen:
+            seen.add(path.toString())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bytes_of(df: DataFrame) -> int:
     """Size in bytes of the files behind a table that written() returned."""
     spark, total = df.sparkSession, 0

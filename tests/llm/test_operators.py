@@ -222,27 +222,66 @@ def test_leaks_do_not_depend_on_the_blocks(spark, monkeypatch):
 # 7 near duplicates
 
 
+def _matches(x, y):
+    """The longest common subsequence by the plain table."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        above, diagonal = row, 0
+        row = [0]
+        for j, b in enumerate(y):
+            row.append(max(above[j] + 1 if a == b else 0, above[j + 1], row[-1]))
+    return row[-1]
+
+
 def _classes(texts):
-    """Components of all pairs by brute force."""
-    hashed, counts = order_minhash.kmers(list(texts.values()))
-    own = dict(zip(texts, np.split(hashed, np.cumsum(counts)[:-1]), strict=True))
+    """Components of all pairs by brute force: words that match in order, of the words of both."""
+    words = {i: t.lower().split() for i, t in texts.items()}
+    bags = {i: Counter(w) for i, w in words.items()}
     label = {i: i for i in texts}
     ids = sorted(texts)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            if label[a] != label[b] and order_minhash.aligned(own[a], own[b]) > 0:
-                low, high = sorted((label[a], label[b]))
-                label = {k: low if v == high else v for k, v in label.items()}
+            n = len(words[a]) + len(words[b])
+            if label[a] != label[b] and (words[a] == words[b] or 9 * (bags[a] & bags[b]).total() >= 4 * n):
+                m = n / 2 if words[a] == words[b] else _matches(words[a], words[b])
+                if n == 0 or 5 * m >= 4 * (n - m):
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if v == high else v for k, v in label.items()}
     return label
 
 
 def test_alignment_is_the_longest_common_subsequence():
     a = [f"w{i}" for i in range(200)]
-    b = a[:90] + ["x"] + a[91:]
-    x, y = (order_minhash.kmers([" ".join(t)])[0] for t in (a, b))
-    assert order_minhash.aligned(x, y) == pytest.approx(191 / 201)
-    z = order_minhash.kmers([" ".join(a[100:] + a[:100])])[0]
-    assert order_minhash.aligned(x, z) == 0.0  # the same shingles, another order
+    assert order_minhash.aligned(a, a[:90] + ["x"] + a[91:]) == pytest.approx(199 / 201)
+    assert order_minhash.aligned(a, a[100:] + a[:100]) == 0.0  # the same words, another order
+    rng = np.random.default_rng(5)
+    for size in (1, 9, 60, 150, 400):  # repeated words, edits of all kinds
+        x = [f"w{k}" for k in rng.integers(0, 30, size)]
+        for edits in (1, size // 20, size // 8):
+            y = list(x)
+            for k in rng.integers(0, len(x), edits):
+                y[k : k + 1] = [["z"], [], [f"w{rng.integers(30)}", "z"]][rng.integers(3)] if len(y) > k else []
+            m, n = _matches(x, y), len(x) + len(y)
+            assert order_minhash.aligned(x, y) == (pytest.approx(m / (n - m)) if 5 * m >= 4 * (n - m) else 0.0)
+            assert order_minhash.matches(x, y, len(x) + len(y)) == m
+
+
+def test_near_copies_are_found(spark):
+    """Recall of planted near copies, whatever their length: every twelfth word changed at most."""
+    rng = np.random.default_rng(11)
+    texts, pairs = {}, []
+    for i in range(400):
+        size = int(rng.integers(12, 400))
+        base = [f"v{k}" for k in rng.integers(0, 5000, size)]
+        near = list(base)
+        for k in rng.choice(size, max(1, size // 14), replace=False):
+            near[k] = f"e{k}"
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
+        pairs.append((2 * i, 2 * i + 1))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classify(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert len(set(got.values())) >= 400
 
 
 def test_classes_equal_brute_force(spark):
