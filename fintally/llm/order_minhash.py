@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fintally.llm.common import deleted, slices, table, written
+from fintally.llm.common import bytes_of, deleted, slices, table, written
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 32, 2
@@ -44,8 +44,10 @@ BINS = 128
 PIVOT_BLOCK, BLOCK = 256, 1024
 #: Blocks of up to SMALL_BUCKET texts share a task (SHARED_TASK rows in all, or so).
 SMALL_BUCKET, SHARED_TASK = 64, 4000
-#: Likeliest partners of a text in other classes, for each pass over buckets that are still apart; then all of them.
-PASSES = (3, 3, None)
+#: Likeliest partners in other classes that a text of a block meets first.
+FIRST = 3
+#: Pairs that a task aligns, rows that a task compares by histogram, and bytes of links that a task joins, or more.
+PAIRS, ROWS, LINKS = 256, 512, 16 << 20
 
 U = np.uint64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -61,14 +63,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def normalized(text: str) -> str:
+    """Lower-case words with single spaces."""
+    return " ".join(text.lower().split())
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed words of all texts in order, and the number of each text's."""
-    split = [t.lower().split() for t in texts]
-    seen: dict[str, int] = {}
-    number = [seen.setdefault(w, len(seen)) for ws in split for w in ws]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    hashes = pd.util.hash_array(np.array(list(seen), dtype=object), categorize=False) if seen else np.zeros(0, np.uint64)
-    return hashes[np.array(number, np.int64)], lengths
+    """The hashed words of all normalized texts in order, and the number of each text's."""
+    lists = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+    lengths = np.where([bool(t) for t in texts], pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    hashes = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    word = hashes[words.indices.to_numpy()]
+    if (lengths == 0).any():  # an empty text splits into one empty word
+        word = word[np.repeat(lengths > 0, np.maximum(lengths, 1))]
+    return word, lengths
 
 
 def kmers(word: np.ndarray, lengths: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +210,13 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = part.column("text").to_pylist()
+            texts = [normalized(t) for t in part.column("text").to_pylist()]
             word, lengths = word_hashes(texts)
             keys: list[list[int]] = [[] for _ in texts]
             for words, chosen in ((WORDS, lengths >= SIMILARITY * SHORT), (SHORT_WORDS, lengths <= SHORT)):
                 for i, row in zip(np.flatnonzero(chosen), sketches(word[np.repeat(chosen, lengths)], lengths[chosen], words).tolist(), strict=True):
                     keys[i] += row
-            digests = [hashlib.sha256(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")).digest()[:16] for t in texts]
+            digests = [hashlib.sha256(t.encode()).digest()[:16] for t in texts]
             columns = [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(histograms(word, lengths), pa.binary())], names=["doc_id", "digest", "n", "keys", "histogram"])
 
@@ -230,6 +239,11 @@ def possible(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return both.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(run, "a long, b long")
 
 
+def tasks(spark: SparkSession, most: int) -> int:
+    """Tasks for few bytes with much work: as many as a shuffle has, and not more than needed."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the distinct pairs (a, b) those whose texts (doc_id, text) align; many pairs may have the same a.
 
@@ -238,8 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_BLOCK).cast("int").alias("blocks"))
     left = blocks.join(texts.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(blocks, "a").join(texts.toDF("b", "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
-    dealt = left.unionByName(right).repartition(tasks, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    dealt = left.unionByName(right).repartition(tasks(pairs.sparkSession, pairs.count() // PAIRS), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: list[str] = []
@@ -262,12 +275,13 @@ def components(edges: DataFrame) -> DataFrame:
     star-shaped links of pivots. Rounds are written to the shared folder, and the one before is deleted.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    few = 1 + bytes_of(both) // LINKS  # small tables in few tasks
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(few))
     while True:
         near = both.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = labels.toDF("label", "up")
-        new = written(step.join(jump, "label").select("id", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")))
+        new = written(step.join(jump, "label").select("id", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")).coalesce(few))
         deleted(labels)
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
@@ -275,8 +289,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(group: pd.DataFrame, most: int | None) -> pd.DataFrame:
-    """Pairs across classes that can pass, between the two blocks of a bucket or within its one; of each text the `most` likeliest."""
+def block_pairs(group: pd.DataFrame, first: bool) -> pd.DataFrame:
+    """Pairs across classes that can pass, between the two blocks of a bucket or within its one: key, a, b.
+
+    With `first` only the FIRST likeliest of each text; where others are held back, a row without a pair says so.
+    """
     low, high = group["low"].iat[0], group["high"].iat[0]
     x, y = (group, group) if low == high else (group[group["mine"] == low], group[group["mine"] == high])
     n, m = x["n"].to_numpy(), y["n"].to_numpy()
@@ -285,7 +302,7 @@ def block_pairs(group: pd.DataFrame, most: int | None) -> pd.DataFrame:
         test &= x["rep"].to_numpy()[:, None] < y["rep"].to_numpy()[None]
     i, j = np.nonzero(test)
     if not len(i):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return pd.DataFrame(columns=["key", "a", "b"])
     hx, hy = unpacked(x["histogram"].tolist(), n), unpacked(y["histogram"].tolist(), m)
     if len(i) * 4 < test.size:
         shared = np.concatenate([np.minimum(hx[i[k : k + BLOCK]], hy[j[k : k + BLOCK]]).sum(axis=1) for k in range(0, len(i), BLOCK)])
@@ -297,21 +314,24 @@ def block_pairs(group: pd.DataFrame, most: int | None) -> pd.DataFrame:
     share = shared / (n[i] + m[j])
     keep = share >= _SHARE - 1e-9
     i, j, share = i[keep], j[keep], share[keep]
-    if most is not None:
+    held = 0
+    if first:
         best = np.zeros(len(i), bool)
         for side in (i, j):
             order = np.lexsort((-share, side))
-            s = side[order]
-            starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-            place = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
-            best[order[place < most]] = True
+            t = side[order]
+            starts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+            place = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
+            best[order[place < FIRST]] = True
+        held = len(i) - int(best.sum())
         i, j = i[best], j[best]
     a, b = x["rep"].to_numpy()[i], y["rep"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    out = pd.DataFrame({"key": group["key"].iat[0], "a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return pd.concat([out, pd.DataFrame({"key": [group["key"].iat[0]], "a": [None], "b": [None]})]) if held else out
 
 
-def apart_pairs(members: DataFrame, labels: DataFrame, copies: DataFrame, most: int | None) -> DataFrame:
-    """Distinct candidate pairs (a, b) across classes within the buckets that are not one class; members: key, rep.
+def apart_pairs(members: DataFrame, labels: DataFrame, copies: DataFrame, first: bool) -> DataFrame:
+    """Candidate pairs (key, a, b) across classes within the buckets that are not one class, as of block_pairs; members: key, rep.
 
     The largest class of a bucket has no pairs of its own: its blocks meet those of the other texts only.
     """
@@ -319,7 +339,7 @@ def apart_pairs(members: DataFrame, labels: DataFrame, copies: DataFrame, most:
     classes = known.groupBy("key", "label").agg(F.count("*").alias("size"))
     buckets = classes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("core"), F.max("size").alias("cores"), F.sum("size").alias("size"), F.count("*").alias("classes"))
     # with two texts, the pivot met the other one
-    buckets = buckets.where("classes > 1 and size > 2").drop("classes")
+    buckets = written(buckets.where("classes > 1 and size > 2").drop("classes"))
     full = known.join(buckets, "key").join(copies.select("rep", "n", "histogram"), "rep")
     blocks = lambda size: F.ceil(size / BLOCK).cast("int")
     full = full.withColumn("others", blocks(F.col("size") - F.col("cores"))).withColumn("all", F.col("others") + blocks(F.col("cores")))
@@ -328,16 +348,18 @@ def apart_pairs(members: DataFrame, labels: DataFrame, copies: DataFrame, most:
     full = full.withColumn("mine", F.when(is_core, F.col("others") + F.pmod(place, F.col("all") - F.col("others"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_core, F.col("others")).otherwise(F.col("all")) - 1)))
     full = full.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-    groups = max(1, buckets.where(F.col("size") <= SMALL_BUCKET).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARED_TASK)
     small = F.col("size") <= SMALL_BUCKET
+    rows, few = buckets.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(small, F.col("size"))), F.lit(0))).first()
+    groups = max(1, few // SHARED_TASK)
     full = full.withColumn("task", F.when(small, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.xxhash64("key", "low", "high")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([block_pairs(blocks, most) for _, blocks in group.groupby(["key", "low", "high"], sort=False)])
+        return pd.concat([block_pairs(blocks, first) for _, blocks in group.groupby(["key", "low", "high"], sort=False)])
 
-    tasks = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
     full = full.select("key", "rep", "label", "n", "histogram", "mine", "low", "high", "task")
-    return full.repartition(tasks, "task").groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+    found = written(full.repartition(tasks(full.sparkSession, rows // ROWS), "task").groupBy("task").applyInPandas(compare, "key long, a long, b long"))
+    deleted(buckets)
+    return found
 
 
 def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
@@ -358,16 +380,18 @@ def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     tested = tested.select(F.col("l").alias("a"), F.col("g").alias("b"))
     labels = components(edges)
     members, used = members.select("key", "rep"), [copies, members, texts, tested, edges, labels]
-    for most in PASSES:
-        more = written(apart_pairs(members, labels, copies, most).join(tested, ["a", "b"], "left_anti"))
-        used.append(more)
-        if not more.limit(1).count():
-            if most is None:
-                break
-            continue
-        found = written(verified(more, texts))
-        edges, tested, labels = edges.union(found), tested.union(more), components(edges.union(found))
-        used += [found, labels]
+    for first in (True, False):
+        found = apart_pairs(members, labels, copies, first)
+        more = written(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        used += [found, more]
+        if more.limit(1).count():
+            links = written(verified(more, texts))
+            edges, tested, labels = edges.union(links), tested.union(more), components(edges.union(links))
+            used += [links, labels]
+        # what was held back is compared whole, where the classes are still apart
+        members = members.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
+        if not found.where("a is null").limit(1).count():
+            break
     out = written(copies.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id")))
     for each in used:
         deleted(each)
