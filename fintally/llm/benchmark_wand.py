@@ -12,8 +12,8 @@ sentence, the question what precedes it; a single sentence is halved.
 The index is broadcast for at most ITEMS test items at once; a larger benchmark is dealt by row number and searched in
 one pass for each such block. All blocks share the statistics of the whole benchmark, so that scores don't depend on it.
 
-Cases: null or empty texts have no passages; texts count whole; items without a word are never found; repeated items
-and repeated documents give repeated rows; an empty benchmark finds nothing. Extra columns are ignored.
+Cases: null or empty texts have no passages; texts count whole; items without a word are never found; an item without
+an id is found as the null item; repeated items and repeated documents give repeated rows; an empty benchmark finds nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ K1, B = 1.2, 0.75
 POSTINGS, ITEMS = 32, 20_000
 #: Items of one range of the bound that comes before the search.
 RANGE = 4
+#: Bounds of windows and ranges that are held at once.
+CELLS = 1 << 21
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -63,7 +65,7 @@ def parts(text: str) -> tuple[list[str], list[str]]:
 class ItemIndex:
     """Inverted index of test items: postings by item number, in blocks with their greatest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
         """whole: number of items, words and longest item of the whole benchmark, and in how many items each term is."""
         self.items = items
         counted = [Counter(words(text or "")) for _, text in items]
@@ -160,13 +162,23 @@ class ItemIndex:
         # of those windows, the ones where a range of items can reach the threshold
         keep, place = likely[window], np.cumsum(likely) - 1
         window, term = place[window[keep]], term[keep]
-        count = self.range_count[term]
-        index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.range_start[term], count)
-        bound = np.bincount(np.repeat(window, count) * self.ranges + self.range_of[index], self.range_max[index], minlength=int(likely.sum()) * self.ranges)
-        hot = (bound.reshape(-1, self.ranges) >= THRESHOLD - 1e-9).any(axis=1)
+        order = np.argsort(window, kind="stable")
+        window, term = window[order], term[order]
+        hot = np.zeros(int(likely.sum()), bool)
+        # so many windows at once that their bounds stay within CELLS, and their terms' ranges too
+        work = np.cumsum(np.bincount(window, self.range_count[term] + 1.0, minlength=len(hot)) + self.ranges)
+        first = 0
+        while first < len(hot):
+            last = max(first + 1, int(np.searchsorted(work, (work[first - 1] if first else 0) + CELLS)))
+            part = slice(*np.searchsorted(window, (first, last)))
+            own, count = term[part], self.range_count[term[part]]
+            index = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.range_start[own], count)
+            bound = np.bincount(np.repeat(window[part] - first, count) * self.ranges + self.range_of[index], self.range_max[index], minlength=(last - first) * self.ranges)
+            hot[first:last] = (bound.reshape(-1, self.ranges) >= THRESHOLD - 1e-9).any(axis=1)
+            first = last
         best: dict[int, tuple[int, float, float, float]] = {}
         for k, own in zip(np.flatnonzero(likely)[hot].tolist(), np.flatnonzero(hot), strict=True):
-            terms = term[window == own].tolist()
+            terms = term[slice(*np.searchsorted(window, (own, own + 1)))].tolist()
             span = slice(k * step, k * step + self.width)
             seen = None
             for i, score in self.search(terms):
@@ -200,12 +212,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(terms, pa.string()), pa.array(sizes, pa.int64())], names=["block", "term", "size"])
 
 
+def _ordered(rows: list) -> list[tuple[int | None, str]]:
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
 def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
     """Indexes of at most ITEMS test items each, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     n = items.count()
     if n <= ITEMS:
-        yield ItemIndex(sorted((r[0] or 0, r[1]) for r in items.collect()))
+        yield ItemIndex(_ordered(items.collect()))
         return
     numbered = items.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] // ITEMS))
     dealt = written(benchmark.sparkSession.createDataFrame(numbered, "item_id long, text string, block long"))
@@ -214,7 +230,7 @@ def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
     every = written(terms.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")))
     for k in range(-(-n // ITEMS)):
         df = {r[0]: r[1] for r in every.join(terms.where(F.col("block") == k).select("term"), "term").collect()}  # terms of ITEMS items
-        own = sorted((r[0] or 0, r[1]) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect())
+        own = _ordered(dealt.where(F.col("block") == k).select("item_id", "text").collect())
         yield ItemIndex(own, (n, n_words, longest, df))
 
 

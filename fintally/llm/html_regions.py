@@ -48,9 +48,19 @@ MARKS = re.compile(
     r"cookies?|consent|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|header|footer|masthead|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|title|textarea|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[/!?]?[A-Za-z][^<>]*(?:\"[^\"]*\"[^<>]*)*>|[^<]+|<", re.DOTALL | re.IGNORECASE)
+#: A tag's attributes are disjoint alternatives, taken whole; no part of a tag passes another tag's start, so that a scan is linear.
+_INSIDE = r"(?:[^<>\"']|<(?![A-Za-z/!?]))"
+_QUOTED = r"\"(?:[^<\"]|<(?![A-Za-z/!?]))*+\"|'(?:[^<']|<(?![A-Za-z/!?]))*+'"
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|title|textarea|noscript|template|svg|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<[/!?]?[A-Za-z](?:{_INSIDE}|{_QUOTED})*+>"
+    r"|<[/!?]?[A-Za-z][^<>]*>"  # with a stray quote
+    r"|[^<]+|<",
+    re.DOTALL | re.IGNORECASE,
+)
 NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9:-]*)")
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 
 
 class Token:
@@ -70,6 +80,7 @@ class Token:
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[tuple[str, str, bool, int]] = [("body", "body", False, 0)]  # name, kind, boilerplate, home
+    opened: Counter = Counter()
     for m in TOKEN.finditer(page):
         raw = m.group()
         _, kind, plain, home = stack[-1]
@@ -85,9 +96,10 @@ def tokens(page: str) -> list[Token]:
         found = NAME.match(raw)
         name = found.group(1).lower() if found else ""
         if raw[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
             out.append(Token("/" + name, "", 0, kind, plain, home))
             continue
@@ -98,9 +110,10 @@ def tokens(page: str) -> list[Token]:
             if name in MAIN:
                 plain = False
             else:
-                inside = any(s[0] in MAIN for s in stack)
+                inside = any(opened[m] for m in MAIN)
                 plain = plain or name in BOILERPLATE or (name == "header" and not inside) or bool(MARKS.search(marks))
             stack.append((name, own, plain, max(home, {"article": 2, "main": 1}.get(name, 0)) if not (name in MAIN and outer) else 0))
+            opened[name] += 1
         elif name in BOILERPLATE:
             plain = True
         out.append(Token(own if name in CONTAINERS else name, "", 0, kind, plain, home))

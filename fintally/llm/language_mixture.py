@@ -73,8 +73,11 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """A model from the labelled documents that are not held out, SAMPLE of each language at most."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= SAMPLE).select("doc_id", "lang").distinct()
+    # twice the sample by a threshold of the hash first, so that no task ranks a whole language
+    n = known.groupBy("lang").agg(F.count("*").alias("n"))
+    near = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) < F.lit(2.0 * SAMPLE) / F.col("n")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id"))
+    chosen = known.select("doc_id", "lang").join(n, "lang").where(near).withColumn("place", place).where(F.col("place") <= SAMPLE).select("doc_id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fintally.llm.common import table
+from fintally.llm.common import table, written
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
@@ -67,6 +67,8 @@ SPELLINGS = (("licen[cs]e", "license"), ("sub-license", "sublicense"), ("non-?co
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)([^\p{L}\n][^\n]*)?$"
 #: A list of known texts up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Distinct lengths of known texts that are listed in the filter of lines; with more, a line of any length between them is hashed.
+BROADCAST_SIZES = 10_000
 
 
 def canonical(text: Column) -> Column:
@@ -88,29 +90,37 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
     return rows.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("c")).alias("size")).where("size > 0")
 
 
-def scanned(df: DataFrame, known: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """df with digest, license (of the entire text, else null), line_licenses (comma-joined) and n_license_lines."""
+def scanned(df: DataFrame, known: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default: all) of df with digest, license (of the entire text, else null), line_licenses (comma-joined) and n_license_lines.
+
+    Texts are made canonical once: their digests, and those of their fitting lines, are written to the shared folder.
+    """
     results = {"digest", "license", "line_licenses", "n_license_lines"}
-    kept = [c for c in df.columns if c not in results]
-    sizes = [r[0] for r in known.select("size").distinct().limit(BROADCAST_ROWS).collect()]  # distinct lengths, few
+    kept = [c for c in keep or df.columns if c not in results]
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     listed = F.broadcast(known) if small else known
+    # the lengths of known texts; where there are too many to list, only the range that they span
+    lengths = known.select("size").distinct()
+    sizes = [r[0] for r in lengths.limit(BROADCAST_SIZES + 1).collect()]
+    least, most = (0, -1) if not sizes else known.agg(F.min("size"), F.max("size")).first()
+    of_known = lambda n: n.isin(sizes) if len(sizes) <= BROADCAST_SIZES else n.between(least, most)
     row = df.select(*kept, canonical(F.col(text_col)).alias("_text"))
-    fits = F.filter(F.transform(F.split("_text", "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda x: F.length(x["line"]).isin(sizes))
-    row = row.select(*kept, digest(F.col("_text")).alias("digest"), F.transform(fits, lambda x: F.struct(x["at"].alias("at"), digest(x["line"]).alias("of"))).alias("_lines"))
-    # lines are looked up once for each distinct list of them
-    key = F.when(F.size("_lines") > 0, F.sha2(F.to_json("_lines"), 256)).alias("_key")
-    row = row.select(*kept, "digest", key, "_lines")
-    lines = row.where("_key is not null").select("_key", "_lines").dropDuplicates(["_key"]).select("_key", F.inline("_lines"))
+    fits = F.filter(F.transform(F.split("_text", "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda x: of_known(F.length(x["line"])))
+    row = written(row.select(*kept, digest(F.col("_text")).alias("digest"), F.transform(fits, lambda x: F.struct(x["at"].alias("at"), digest(x["line"]).alias("of"))).alias("_lines")))
+    # lines are looked up once for each distinct list of them; rows without any take no part in that join
+    with_lines, none = row.where(F.size("_lines") > 0).withColumn("_key", F.sha2(F.to_json("_lines"), 256)), row.where(F.size("_lines") == 0)
+    lines = with_lines.select("_key", "_lines").dropDuplicates(["_key"]).select("_key", F.inline("_lines"))
     found = lines.join(listed.select(F.col("digest").alias("of"), "license"), "of").groupBy("_key")
     found = found.agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
-    out = row.drop("_lines").join(listed.select("digest", "license"), "digest", "left").join(found, "_key", "left")
+    out = with_lines.drop("_lines").join(found, "_key", "left").drop("_key")
+    out = out.unionByName(none.drop("_lines").withColumns({"line_licenses": F.lit(None).cast("string"), "n_license_lines": F.lit(None).cast("long")}))
+    out = out.join(listed.select("digest", "license"), "digest", "left")
     return out.select(*kept, "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, digest, license, line_licenses and n_license_lines of every document."""
-    found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), known_digests(spark))
+    found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), known_digests(spark), keep=["doc_id"])
     return found.select("doc_id", "digest", "license", "line_licenses", "n_license_lines")
 
 

@@ -48,6 +48,8 @@ SMALL_BUCKET, SHARED_TASK = 64, 4000
 FIRST = 3
 #: Pairs that a task aligns, rows that a task compares by histogram, and bytes of links that a task joins, or more.
 PAIRS, ROWS, LINKS = 256, 512, 16 << 20
+#: Bytes of texts that are sketched at once: their hashes stay in a core's cache.
+CACHED = 1 << 18
 
 U = np.uint64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -209,7 +211,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, digest binary, n long, keys array<long>, histogram binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=CACHED):
             texts = [normalized(t) for t in part.column("text").to_pylist()]
             word, lengths = word_hashes(texts)
             keys: list[list[int]] = [[] for _ in texts]

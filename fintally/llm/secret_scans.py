@@ -80,23 +80,50 @@ def log_ratios(spark: SparkSession) -> list[float]:
     return out
 
 
+#: Elements of an array that are scanned together: the cost of an element grows with CHUNK and not with the array.
+CHUNK = 256
+
+
+def chunked(values: Column) -> Column:
+    """An array cut into arrays of CHUNK elements."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+    return F.transform(starts, lambda at: F.slice(values, at, CHUNK))
+
+
+def before(chunks: Column, merge, kind: str) -> Column:
+    """What merge makes of zero and all elements before each one, for an array in chunks: array<kind>."""
+    zero = F.lit(0).cast(kind)
+    total = lambda acc, part: F.aggregate(part, acc, merge)
+    heads = F.aggregate(chunks, F.array(zero), lambda acc, part: F.array_append(acc, total(F.element_at(acc, -1), part)))
+    within = lambda head, part: F.transform(part, lambda _, i: total(head, F.slice(part, F.lit(1), i)))
+    return F.flatten(F.zip_with(F.slice(heads, F.lit(1), F.size(chunks)), chunks, within))
+
+
 def matches(text: Column, pattern: str, kind: str, keep) -> Column:
     """array<struct<start, rank, end, kind, hit>> of the matches of pattern for which keep(hit) holds."""
     rank = [*PATTERNS, "markov"].index(kind)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    span = lambda start, hit: F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(hit)).alias("end"), F.lit(kind).alias("kind"), hit.alias("hit"))
     kind_of = "array<struct<start:int,rank:int,end:int,kind:string,hit:string>>"
+    pieces = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+    chunks = chunked(pieces)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        found = F.when(keep(x["hit"]), F.array_append(acc["out"], span(start, x["hit"]))).otherwise(acc["out"])
-        return F.struct((start + F.length(x["hit"])).alias("at"), found.alias("out"))
+    def spans(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda part: F.transform(part, lambda x: x["gap"] + x["size"]))
+        return F.zip_with(before(lengths, lambda a, b: a + b, "int"), F.flatten(chunks), span)
 
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out")), step, lambda acc: acc["out"])
+    def span(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
+
+    found = F.filter(once(chunks, spans), lambda s: keep(s["hit"])).cast(kind_of)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind_of))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once although use names it several times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df with base and spans (arrays of spans by start, then kind), n_assign, n_access, n_hex."""
     spark, n = df.sparkSession, len(ALPHABET) + 1
@@ -113,7 +140,7 @@ def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     found = found.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k in PATTERNS))))
     found = found.withColumn("_runs", matches(text, CANDIDATE, "markov", lambda hit: F.lit(True)))
     found = found.withColumn("_markov", F.flatten(F.transform("_runs", lambda r: F.transform(stretches(steps(r["hit"]), r["hit"]), lambda s: _part(r, r["start"] + s["start"], r["start"] + s["end"])))))
-    apart = F.flatten(F.transform("_markov", lambda x: _clipped(x, F.col("_base"))))
+    apart = once(_sorted_chunks(F.col("_base")), lambda chunks: F.flatten(F.transform("_markov", lambda x: _clipped(x, chunks))))
     kept = [c for c in df.columns if c not in {"base", "spans", "n_assign", "n_access", "n_hex"}]
     sizes = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]
     return found.select(*kept, F.col("_base").alias("base"), F.array_sort(F.concat("_base", apart)).alias("spans"), *sizes)
@@ -157,9 +184,15 @@ def _part(span: Column, start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), span["rank"].alias("rank"), end.alias("end"), span["kind"].alias("kind"), hit.alias("hit"))
 
 
-def _clipped(span: Column, base: Column) -> Column:
-    """The parts of a span that no base span (sorted by start) covers."""
-    meets = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+def _sorted_chunks(base: Column) -> Column:
+    """Spans that are sorted by start, in chunks with the least start and the greatest end."""
+    return F.transform(chunked(base), lambda part: F.struct(part.alias("spans"), F.try_element_at(part, F.lit(1))["start"].alias("low"), F.array_max(F.transform(part, lambda b: b["end"])).alias("high")))
+
+
+def _clipped(span: Column, chunks: Column) -> Column:
+    """The parts of a span that no base span covers; only chunks of base spans that it meets are looked through."""
+    near = F.flatten(F.transform(F.filter(chunks, lambda c: (c["low"] < span["end"]) & (span["start"] < c["high"])), lambda c: c["spans"]))
+    meets = F.filter(near, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
     kind_of = "struct<at:int,out:array<struct<start:int,rank:int,end:int,kind:string,hit:string>>>"
     begin = F.struct(span["start"].alias("at"), F.array().alias("out")).cast(kind_of)
     upto = lambda acc, end: F.when(end > acc["at"], F.array_append(acc["out"], _part(span, acc["at"], end))).otherwise(acc["out"])
@@ -180,14 +213,17 @@ def listed(spans: Column) -> Column:
 def redacted(df: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of its text replaced by mark; no row is dropped, a null text stays null."""
     text = F.col(text_col)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # spans of different kinds may overlap
-        gap = F.when(fresh, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], gap).alias("out"))
+    def piece(at: Column, s: Column) -> Column:
+        """The text from where the spans before end to this one, and the mark; nothing for a span that begins within them."""
+        return F.when(s["start"] >= at, F.concat(text.substr(at + 1, s["start"] - at), F.lit(mark))).otherwise("")
+
+    def replaced(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda part: F.transform(part, lambda s: s["end"]))
+        pieces = F.zip_with(before(ends, lambda a, b: F.greatest(a, b), "int"), F.flatten(chunks), piece)
+        return F.concat(F.array_join(pieces, ""), text.substr(F.array_max(F.flatten(ends)) + 1, F.length(text)))
 
-    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    clean = once(chunked(F.col("spans")), replaced)
     found = scan(df, text_col=text_col)
     return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(df.columns)
 

@@ -1,7 +1,8 @@
 """URL filters with Spark SQL functions only.
 
 Rules and listed entries are canonical URLs without a scheme: host, then a path that ends in a slash. Each URL has as
-keys its host and every parent domain, with every prefix of its path that ends in a slash. A split-block Bloom filter
+keys its host and every parent domain, with every prefix of its path that ends in a slash, as far as the longest listed
+domain and path go: a longer key can't be listed. A split-block Bloom filter
 of the listed keys (eight words of 32 bits to a block, one bit set in each) lets possible hits pass; they meet the
 list in an exact hash join, which removes the false positives. The longest rule decides. Without a rule the verdict is
 block if an entry of the block list fits, else allow.
@@ -36,11 +37,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def keys(host: Column, path: Column) -> Column:
-    """Every parent domain of a host with every prefix of the path that ends in a slash."""
-    labels = F.split(host, r"\.", -1)
+def keys(host: Column, path: Column, most_labels: int, most_steps: int) -> Column:
+    """Every parent domain of a host with every prefix of the path that ends in a slash, none longer than any listed key."""
+    # what lies before the longest listed domain is cut off, and a path behind the longest listed one
+    last = F.when(F.size(F.split(host, r"\.", -1)) > most_labels, F.substring_index(host, ".", -most_labels)).otherwise(host)
+    labels = F.split(last, r"\.", -1)
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split(path, "/", -1)
+    steps = F.split(path, "/", most_steps + 1)
     prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     return F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))
 
@@ -84,7 +87,8 @@ def judged(df: DataFrame, listed: DataFrame, *, url_col: str = "url") -> DataFra
     host, path = host_and_path(F.col("_url"))
     rows = df.select(*kept, F.col(url_col).alias("_url")).withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))}).drop("_url")
     words, blocks = bloom_words(listed)
-    hits = rows.select("host", "path", F.filter(keys(F.col("host"), F.col("path")), lambda k: may_hold(words, blocks, k)).alias("keys"))
+    most_labels, most_steps = listed.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1))), F.max(F.size(F.split("key", "/", -1)) - 1)).first()
+    hits = rows.select("host", "path", F.filter(keys(F.col("host"), F.col("path"), most_labels or 1, most_steps or 1), lambda k: may_hold(words, blocks, k)).alias("keys"))
     hits = hits.where(F.size("keys") > 0).distinct().select("host", "path", F.explode("keys").alias("key"))
     rule = F.col("kind") == "rule"
     found = hits.join(listed, "key").groupBy("host", "path").agg(

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -372,3 +373,67 @@ def test_streams_of_awkward_rows(spark, awkward):
         payload, n = transport_streams.payload_of(r["text"])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (n, len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["random_access"][0] == 376
+
+
+# sizes that must not be quadratic, and cases beside the main ones
+
+
+def test_deep_urls(spark):
+    """Long paths and hosts of many labels, ties and repeated rows."""
+    rows = [(1, "http://" + "a." * 5000 + "example.com/en/" + "x/" * 8000), (2, "http://spain.net/es/" + "y/" * 8000), (2, "http://spain.net/es/" + "y/" * 8000), (3, "http://net/esx/"), (4, "nothing")]
+    got = rows_of(url_filters.judged(spark.createDataFrame(rows, "page_id long, url string"), url_filters.listed_keys(spark)))
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got if r["rule"]) == [(1, "example.com/en/", "block"), (2, "net/es/", "block"), (2, "net/es/", "block")]
+    assert sorted(r["page_id"] for r in got if not r["rule"] and r["verdict"] == "allow") == [3, 4]
+
+
+def test_stray_quotes_are_linear_and_quoted_tags_stay_whole():
+    began = time.time()
+    for piece in ('<a "', '<a "x" ', "<a 'x\"", "<script ", "<div>", "</p>"):
+        html_regions.tokens(piece * 10_000 + "<p>")
+    assert time.time() - began < 10
+    assert [t.tag for t in html_regions.tokens("""<p title="a > b" class='x'>one</p>""")] == ["p", "", "/p"]
+
+
+def test_region_is_the_greatest_sum():
+    rng = np.random.default_rng(2)
+    weights = html_regions.Weights({"div": 9, "/div": 9, "span": 1}, {"p": 9, "/p": 9})
+    for _ in range(60):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "one two ", "word ", "<span>"], 30))
+        seq = html_regions.tokens(page)
+        value = [weights.weight(t) if t.tag else float(t.words) for t in seq]
+        begin, end = weights.region(seq)
+        best = max(sum(value[i:j]) for i in range(len(seq)) for j in range(i, len(seq) + 1))
+        assert sum(value[begin:end]) == pytest.approx(max(best, 0.0))
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token={k:06d} {hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(6000))
+    began = time.time()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = rows_of(secret_scans.redacted(docs))[0]["text"]
+    assert got == " ".join(["[SECRET] [SECRET]"] * 6000)
+    assert time.time() - began < 60
+
+
+def test_bounds_in_batches(monkeypatch):
+    """Windows in batches give what one batch gives; an item without an id is the null item."""
+    items = [(None, "what is the answer to this odd question today. it is forty two and nothing else")] + [(k, f"item {k} asks for w{k} x{k} y{k} z{k} of it. the answer is a{k} b{k} c{k}") for k in range(50)]
+    text = " ".join(t for _, t in items) * 3
+    want = benchmark_wand.ItemIndex(items).leaks(text)
+    monkeypatch.setattr(benchmark_wand, "CELLS", 7)
+    assert benchmark_wand.ItemIndex(items).leaks(text) == want and len(want) == 51
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Every language has its sample, whatever the share of one of them."""
+    docs = spark.createDataFrame([(k, "alpha beta gamma" if k % 50 else "eins zwei drei", "en" if k % 50 else "de") for k in range(3000)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_mixture, "SAMPLE", 20)
+    model = language_mixture.fit(docs)
+    assert model.languages == ["de", "en"]
+    assert model.predict("zwei drei")[0] == "de" and model.predict("gamma alpha")[0] == "en"
+
+
+def test_licences_and_secrets_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert license_digests.scanned(docs, license_digests.known_digests(spark)).count() == 0
+    assert secret_scans.scan(docs).count() == 0
