@@ -246,11 +246,15 @@ def tasks(spark: SparkSession, most: int) -> int:
     return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the distinct pairs (a, b) those whose texts (doc_id, text) align; many pairs may have the same a.
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the distinct pairs (a, b) those whose texts align; many pairs may have the same a.
 
-    A text with many partners is dealt over blocks of them, and goes to each block once: its row comes first there.
+    Only texts of the pairs leave docs: their ids are written first, so that their size decides how they are joined. A
+    text with many partners is dealt over blocks of them, and goes to each block once: its row comes first there.
     """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_BLOCK).cast("int").alias("blocks"))
     left = blocks.join(texts.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(blocks, "a").join(texts.toDF("b", "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
@@ -267,7 +271,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(b is not None and aligned(mine, words) > 0)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    found = written(dealt.mapInArrow(run, "a long, b long"))
+    deleted(ids)
+    deleted(texts)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,21 +380,19 @@ def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("key", "pivot"))
     members = written(rows.join(buckets, "key"))
     deleted(buckets)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = written(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     met = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     met = possible(met, copies)
     tested = written(met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g"), "a", "b"))
-    edges = written(verified(tested.select("a", "b"), texts))
+    edges = verified(tested.select("a", "b"), docs)
     tested = tested.select(F.col("l").alias("a"), F.col("g").alias("b"))
     labels = components(edges)
-    members, used = members.select("key", "rep"), [copies, members, texts, tested, edges, labels]
+    members, used = members.select("key", "rep"), [copies, members, tested, edges, labels]
     for first in (True, False):
         found = apart_pairs(members, labels, copies, first)
         more = written(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         used += [found, more]
         if more.limit(1).count():
-            links = written(verified(more, texts))
+            links = verified(more, docs)
             edges, tested, labels = edges.union(links), tested.union(more), components(edges.union(links))
             used += [links, labels]
         # what was held back is compared whole, where the classes are still apart
@@ -412,11 +417,17 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that with the least doc_id; one row of it where rows are repeated."""
-    kept = written(classify(docs.select("doc_id", "text")).where("doc_id <=> class_id or class_id is null").groupBy("doc_id").agg(F.count("*").alias("copies")))
-    once = docs.join(kept.where("copies = 1 or doc_id is null").select("doc_id").withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    more = docs.join(kept.where("copies > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    """docs with one document of each class, that with the least doc_id; one row of it where rows are repeated.
+
+    Only the ids that go are joined to docs, and the repeated ones if there are any.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("class_id").isNull()
+    ids = written(classify(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(own).alias("own"), F.count("*").alias("rows")).where("own = 0 or rows > 1"))
+    once = docs.join(written(ids.select(F.col("doc_id").alias("_gone"))), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = written(ids.where("own > 0").select("doc_id"))
+    if not repeated.limit(1).count():
+        return once
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
