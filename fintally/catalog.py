@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting", "reports", "workflow")
+PLANS = ("underwriting", "reports", "workflow", "portfolio")
 
 
 def _all(name: str) -> dict:

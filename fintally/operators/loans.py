@@ -98,6 +98,20 @@ def debt_service(schedules: DataFrame, loans: DataFrame) -> DataFrame:
     return first.groupBy("loan_id").agg((F.min(F.when(F.col("month") == F.col("interest_only") + 1, F.col("payment_cents"))) * 12).alias("annual_debt_service"), F.sum("interest_cents").alias("total_interest"))
 
 
+def summaries(loans: DataFrame) -> DataFrame:
+    """Annual debt service and total interest of each loan, from its schedule in the task that makes it: no row for a month leaves it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for loan, principal, term, steps, free in zip(batch["loan_id"], batch["principal_cents"], batch["term_months"], batch["steps"], batch["interest_only"], strict=True):
+                months = schedule(int(principal), int(term), [(int(s["month"]), int(s["bps"])) for s in steps], int(free))
+                rows.append((loan, 12 * months[int(free)][1], sum(m[2] for m in months)))
+            yield pd.DataFrame(rows, columns=["loan_id", "annual_debt_service", "total_interest"])
+
+    return loans.select("loan_id", "principal_cents", "term_months", "steps", "interest_only").mapInPandas(run, "loan_id long, annual_debt_service long, total_interest long")
+
+
 def project(base: DataFrame) -> DataFrame:
     """Revenue, expense and cash flow of each projected year.
 

@@ -25,7 +25,7 @@ def review_queue(facts: DataFrame, issues: DataFrame) -> DataFrame:
     """Facts under review with their place: worst severity first, then document, oldest, id."""
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "error", 2).otherwise(1)
     worst = issues.select(rank.alias("severity_rank"), F.explode(F.split("fact_ids", ",")).alias("id")).groupBy("id").agg(F.max("severity_rank").alias("severity_rank"))
-    return facts.where("status = 'suggested'").join(worst, "id", "left").select("id", "document_id", "created_at", F.coalesce("severity_rank", F.lit(0)).alias("severity_rank"))
+    return facts.where("status = 'suggested'").join(worst, "id", "left").select("id", "document_id", "created_at", F.coalesce("severity_rank", F.lit(0)).alias("severity_rank")).orderBy(F.col("severity_rank").desc(), "document_id", "created_at", "id")
 
 
 def keyset_page(df: DataFrame, id_col: str, cursor: int, size: int) -> DataFrame:

@@ -5,36 +5,103 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# White space and minus signs beyond ASCII that statements print.
-SPACE = "[ \\t\\u00a0\\u2007\\u2009\\u202f]"
+# White space, minus and currency signs of printed amounts; what stands for an absent one.
+SPACE = "[\\s\\u00a0\\u2000-\\u200b\\u202f\\u205f]"
 MINUS = "[-\\u2013\\u2014\\u2212]"
-# What stands for an absent amount.
-ABSENT = r"^(-+|–|—|−|n/?a|none|nil)$"
-
-
-def normalize_amount(text: Column, scale: Column | int = 1) -> Column:
-    """struct<cents, null_reason, rejection> of a printed amount.
-
-    An absent mark is null with a reason, never zero. One sign only: parentheses, a leading or a trailing minus. Commas
-    (or spaces, apostrophes) group by thousands; a single point with three digits is ambiguous and rejected.
+CURRENCY = "[$\u20ac\u00a3]"
+ABSENT = r"(?i)^(n/?a|none|nil)$"
+#: Thousands in groups of three, by one kind of mark.
+GROUPED = r"^\d{1,3}(?:(?:\.\d{3})+|(?:,\d{3})+|(?:'\d{3})+)$"
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def _without_sign(state: Column) -> Column:
+    """The outermost sign mark of state.text taken off and counted: parentheses, else a leading, else a trailing minus."""
+    t, dashes = state["text"], state["text"].rlike(f"^{MINUS}+$")
+    paren, lead, trail = t.rlike(r"^\(.*\)$"), t.rlike(f"^{MINUS}") & ~dashes, t.rlike(f"{MINUS}$") & ~dashes
+    inner = F.when(paren, _stripped(F.regexp_replace(t, r"^\(|\)$", ""))).when(lead, F.regexp_replace(t, f"^{MINUS}{SPACE}*", "")).when(trail, F.regexp_replace(t, f"{SPACE}*{MINUS}$", ""))
+    return F.struct(F.coalesce(inner, t).alias("text"), (state["signs"] + (paren | lead | trail).cast("int")).alias("signs"))
+
+
+def _parts(b: Column) -> Column:
+    """struct<whole, part, fault> of digits with marks: what precedes and follows the decimal mark, or why there is none."""
+    marks = lambda m: F.length(b) - F.length(F.replace(b, F.lit(m), F.lit("")))
+    dots, commas = marks("."), marks(",")
+    head, tail = F.regexp_extract(b, r"^(.*)[.,]([^.,]*)$", 1), F.regexp_extract(b, r"^(.*)[.,]([^.,]*)$", 2)
+    mark = F.substring(b, F.length(head) + 1, F.lit(1))
+    whole_only = lambda x: F.struct(x.alias("whole"), F.lit("").alias("part"), F.lit(None).cast("string").alias("fault"))
+    both_parts = lambda x, y: F.struct(x.alias("whole"), y.alias("part"), F.lit(None).cast("string").alias("fault"))
+    fault = lambda why: F.struct(F.lit("").alias("whole"), F.lit("").alias("part"), F.lit(why).alias("fault"))
+    ungrouped = F.regexp_replace(b, "[.,]", "")
+    mixed = F.replace(head, F.when(mark == ".", ",").otherwise("."), F.lit(""))
+    short, grouped = tail.rlike(r"^\d{1,2}$"), b.rlike(GROUPED)
+    return (
+        F.when((dots > 0) & (commas > 0), F.when(mixed.rlike("[.,]"), fault("malformed_grouping")).otherwise(both_parts(mixed, tail)))
+        .when(dots + commas == 0, whole_only(b))
+        .when(grouped & ((commas > 0) | (dots > 1)), whole_only(ungrouped))
+        .when(dots + commas > 1, fault("malformed_grouping"))
+        .when(short, both_parts(head, tail))
+        .when(tail == "", whole_only(head))
+        .when(commas > 0, fault("malformed_grouping"))
+        .when(b.rlike(r"^\d{1,3}\.\d{3}$"), fault("ambiguous_separator"))
+        .otherwise(fault("too_many_decimals"))
+    )
+
+
+def normalize_amount(text: Column, scale: Column | int = 1, cents_box: Column | None = None) -> Column:
+    """struct<cents, null_reason, rejection> of a printed amount, times scale.
+
+    An absent mark is null with a reason, never zero. More than one sign mark is a conflict. With a point and a comma the
+    last one is the decimal mark; groups have three digits; one point before three digits is ambiguous. The digits of a
+    cents box stand for the decimals, which must then be absent. A null text reads as an empty one.
     """
-    t = F.trim(F.regexp_replace(text, SPACE, " "))
-    empty, absent = t.isNull() | (t == ""), F.lower(t).rlike(ABSENT)
-    paren = t.rlike(r"\(.*\)$")
-    lead, trail = t.rlike(f"^[$€£ ]*{MINUS}"), t.rlike(f"{MINUS}$")
-    signs = paren.cast("int") + lead.cast("int") + trail.cast("int") + t.rlike(f"^\\(\\s*[$€£]?\\s*{MINUS}").cast("int")
-    body = F.regexp_replace(F.regexp_replace(t, f"[()$€£]|^\\s*[$€£]*\\s*{MINUS}|{MINUS}$", ""), " |'|’", "")
-    grouped = body.rlike(r"^\d{1,3}(,\d{3})+(\.\d{1,2})?$")
-    plain = body.rlike(r"^\d+(\.\d{1,2})?$") | body.rlike(r"^\.\d{1,2}$")
-    decimal_comma = body.rlike(r"^\d{1,3}(\.\d{3})+,\d{1,2}$") | body.rlike(r"^\d+,\d{1,2}$")
-    ambiguous = body.rlike(r"^\d{1,3}\.\d{3}$")
-    digits = F.when(decimal_comma, F.translate(F.regexp_replace(body, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(body, ",", ""))
-    good = grouped | plain | decimal_comma
-    cents = (F.when(good, F.concat(F.lit("0"), digits)).cast("decimal(30,2)") * 100).cast("decimal(38,0)") * scale
-    signed = F.when(signs == 1, -cents).otherwise(cents).cast("long")
-    reason = F.when(empty, "empty").when(absent, F.when(F.lower(t).rlike("^n"), "na").otherwise("dash"))
-    rejection = F.when(reason.isNotNull(), None).when(signs > 1, "sign_conflict").when(ambiguous, "ambiguous_separator").when(~good, "not_a_number")
-    return F.struct(F.when(reason.isNull() & rejection.isNull(), signed).alias("cents"), reason.alias("null_reason"), rejection.alias("rejection"))
+    t = _stripped(F.coalesce(text, F.lit("")))
+    scale = F.lit(scale) if isinstance(scale, int) else scale
+    box = F.lit(None).cast("string") if cents_box is None else _stripped(cents_box)
+    box_digits = F.when((box == "") | box.rlike(f"^{MINUS}+$"), "00").when(box.rlike(r"^\d{1,2}$"), F.lpad(box, 2, "0"))
+    none = F.lit(None)
+    result = lambda cents=none, reason=none, rejection=none: F.struct(cents.cast("long").alias("cents"), reason.cast("string").alias("null_reason"), rejection.cast("string").alias("rejection"))
+    reject = lambda why: result(rejection=F.lit(why) if isinstance(why, str) else why)
+
+    def amount(signs: Column, p: Column) -> Column:
+        whole, part = F.replace(p["whole"], F.lit("'"), F.lit("")), p["part"]
+        digits = F.concat(F.lit("0"), whole, F.rpad(F.coalesce(box_digits, part), 2, "0"))
+        cents = digits.try_cast("decimal(38,0)") * scale.cast("decimal(10,0)") * F.when(signs == 1, -1).otherwise(1)
+        number = whole.rlike(r"^\d*$") & part.rlike(r"^\d*$") & (F.concat(whole, part) != "")
+        return (
+            F.when(p["fault"].isNotNull(), reject(p["fault"]))
+            .when(~number, reject("not_a_number"))
+            .when(F.length(part) > 2, reject("too_many_decimals"))
+            .when(box_digits.isNotNull() & (part != ""), reject("invalid_cents_box"))
+            .when(cents.isNull() | (F.abs(cents) > F.lit((1 << 63) - 1).cast("decimal(38,0)")), reject("out_of_range"))
+            .otherwise(result(cents.try_cast("long")))
+        )
+
+    def unsigned(state: Column) -> Column:
+        spaced = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(state["text"], CURRENCY, ""), f"{SPACE}+", " ")), "^ | $", "")
+        body = F.regexp_replace(spaced, " ", "")  # thousands by spaces, and stray spaces
+        return (
+            F.when(state["signs"] > 1, reject("conflicting_signs"))
+            .when(~body.rlike(r"^[\d.,']+$"), reject("not_a_number"))
+            .when(box.isNotNull() & box_digits.isNull(), reject("invalid_cents_box"))
+            .otherwise(let(body, lambda b: let(_parts(b), lambda p: amount(state["signs"], p))))
+        )
+
+    first = let(F.struct(t.alias("text"), F.lit(0).alias("signs")), _without_sign)
+    return (
+        F.when(t == "", result(reason=F.lit("empty")))
+        .when(t.rlike(f"^{MINUS}+$"), result(reason=F.lit("dash")))
+        .when(t.rlike(ABSENT), result(reason=F.lit("na")))
+        .otherwise(let(let(first, _without_sign), unsigned))
+    )
 
 
 def normalize_label(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +35,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = readmodels.review_queue(facts(spark, sf_dir), underwriting.all_issues(spark, sf_dir))
-    return out.groupBy("severity_rank").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return readmodels.review_queue(facts(spark, sf_dir), underwriting.all_issues(spark, sf_dir))
 
 
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +76,26 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmodels.accuracy(d.select(F.col("lang").alias("form"), F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("quality"), F.when(F.col("n_chars") % 7 > 0, 1).otherwise(0).alias("predicted"), F.col("quality").alias("truth")))
 
 
+# Forms of a printed amount (w: dollars, g: dollars with commas, p: with points, b: with blanks, c: two digits of
+# cents, %: nothing), the sign and the power of ten that its cents are read with, or the null reason or rejection.
+FORMS = (
+    ("g.c", 1), ("$g.c", 1), ("($g.c)", -1), ("-g.c", -1), ("\u2212w.c", -1), ("\u2013g.c", -1), ("w.c-", -1), ("( w.c )", -1), ("p,c", 1), ("\u20acp,c", 1), ("w,c", 1), ("w.c", 1), ("(p,c)", -1), ("-$w.c", -1), ("w.c\u2014", -1), ("\u00a0g.c\u00a0", 1),
+    ("g.c ", 1), ("\u2014", "dash"), ("---", "dash"), ("N/A", "na"), ("none", "na"), ("nil", "na"), (" ", "empty"), ("1.234", "ambiguous_separator"), ("-(w.c)", "conflicting_signs"), ("(w.c)-", "conflicting_signs"), ("-w.c-", "conflicting_signs"),
+    ("w.c7", "too_many_decimals"), ("1.23.456", "malformed_grouping"), ("1,2,w", "malformed_grouping"), ("$(g.c)", "not_a_number"), ("w USD", "not_a_number"),
+)
+
+
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts of orders printed in eight ways and read back."""
+    """Amounts of orders printed in 32 forms and read back."""
     cents = from_double(F.col("o_totalprice"))
-    k = F.col("o_orderkey") % 8
-    printed = (
-        F.when(k == 0, dollars(cents)).when(k == 1, F.concat(F.lit("("), dollars(cents), F.lit(")"))).when(k == 2, F.concat(dollars(cents), F.lit("-"))).when(k == 3, F.lit("—"))
-        .when(k == 4, F.lit("N/A")).when(k == 5, F.lit("1.234")).when(k == 6, F.concat(F.lit("-("), dollars(cents), F.lit(")"))).otherwise(F.lit(" "))
-    )
+    part = F.lpad((cents % 100).cast("string"), 2, "0")
+    whole = ((cents - cents % 100) / 100).cast("decimal(20,0)").cast("string")
+    grouped = lambda mark: F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", mark)
+    pieces = {"w": whole, "g": grouped(","), "p": grouped("."), "c": part}
+    plain = {"USD", "none", "nil"}
+    shown = lambda form: F.concat(*(F.lit(t) if t in plain else pieces.get(t, F.lit(t)) for t in re.findall("USD|none|nil|.", form)))
+    k = F.col("o_orderkey") % len(FORMS)
+    printed = reduce(lambda c, i: c.when(k == i, shown(FORMS[i][0])), range(1, len(FORMS)), F.when(k == 0, shown(FORMS[0][0])))
     got = text.normalize_amount(printed)
     return table(spark, sf_dir, "orders").select("o_orderkey", got.alias("a")).select("o_orderkey", "a.*")
 
@@ -106,7 +120,8 @@ def most_similar(customers: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return most_similar(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"))
+    """The query set is every customer whose key is divisible by 50; each meets all suppliers."""
+    return most_similar(table(spark, sf_dir, "customer").where("c_custkey % 50 = 0"), table(spark, sf_dir, "supplier"))
 
 
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +142,7 @@ def loan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amortization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = loan_rows(spark, sf_dir)
-    return loans.debt_service(loans.amortize(rows), rows)
+    return loans.summaries(loan_rows(spark, sf_dir))
 
 
 def proforma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,16 +182,16 @@ _YEAR = lambda prev, bps: half_even_sql(f"{prev} * {10_000 + bps}", "10000")  #
 ORACLES = {
     "a07_cost_by_deal": f"WITH {_RUNS}, p AS (SELECT deal_id, stage, count(*) n, count(*) FILTER (failed) f, sum(pages) pg, sum(cost_micro) c FROM runs GROUP BY ALL) SELECT deal_id, CAST(sum(n) AS BIGINT) AS runs, CAST(sum(f) AS BIGINT) AS failed, CAST(sum(pg) AS BIGINT) AS pages, CAST(sum(c) AS BIGINT) AS cost_micro, string_agg(stage || '=' || c, ',' ORDER BY stage || '=' || c) AS by_stage, sum(c) > 10000000 AS over_envelope FROM p GROUP BY deal_id",
     "a08_daily_usage": f"WITH {_RUNS}, d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(d.day AS VARCHAR) AS day, count(deal_id) AS runs, count(*) FILTER (failed) AS failed, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(cost_micro), 0) AS BIGINT) AS cost_micro FROM d LEFT JOIN runs ON CAST(started_at AS DATE) = d.day GROUP BY d.day",
-    "o01_review_queue": f"{_H},\n{underwriting._ISSUES}, w AS (SELECT unnest(string_split(fact_ids, ',')) AS id, CASE severity WHEN 'critical' THEN 3 WHEN 'error' THEN 2 ELSE 1 END AS r FROM issues), x AS (SELECT id, max(r) AS r FROM w GROUP BY id) SELECT coalesce(x.r, 0) AS severity_rank, count(*) AS n, min(f.id) AS first_id FROM ranked f LEFT JOIN x USING (id) WHERE status = 'suggested' GROUP BY 1",
+    "o01_review_queue": f"{_H},\n{underwriting._ISSUES}, w AS (SELECT unnest(string_split(fact_ids, ',')) AS id, CASE severity WHEN 'critical' THEN 3 WHEN 'error' THEN 2 ELSE 1 END AS r FROM issues), x AS (SELECT id, max(r) AS r FROM w GROUP BY id) SELECT f.id, f.document_id, f.created_at, CAST(coalesce(x.r, 0) AS INTEGER) AS severity_rank FROM ranked f LEFT JOIN x USING (id) WHERE status = 'suggested' ORDER BY severity_rank DESC, document_id, created_at, id",
     "o02_audit_page": "SELECT event_id, user_id, event_type FROM events WHERE event_id < 500 ORDER BY event_id DESC LIMIT 51",
     "w01_best_mappings": f"WITH {_MAPPINGS} SELECT tenant_id, label, id, source, usage_count FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, label ORDER BY source = 'human' DESC, usage_count DESC, updated_at DESC, id DESC) AS p FROM m) WHERE p = 1",
     "p08_redundant_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans w WHERE w.document_id = s.document_id AND w.family = s.family AND w.page_start <= s.page_start AND w.page_end >= s.page_end AND (w.page_end - w.page_start > s.page_end - s.page_start OR w.id < s.id))",
     "j11_overlapping_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE EXISTS (SELECT 1 FROM spans o WHERE o.document_id = s.document_id AND o.id <> s.id AND o.page_start <= s.page_end AND s.page_start <= o.page_end)",
     "w04_chain_breaks": "WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) SELECT conv_id AS tenant_id, turn AS broken_at, 'prev_hash' AS reason FROM c WHERE p = 2",
     "a17_accuracy": "WITH c AS (SELECT lang AS form, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS quality, CASE WHEN n_chars % 7 > 0 THEN 1 ELSE 0 END AS predicted, l.quality AS truth FROM documents JOIN labels l USING (doc_id)), g AS (SELECT form, quality, grouping(form, quality) AS g, count(*) AS n, count(*) FILTER (predicted = 1) AS p, count(*) FILTER (predicted = 1 AND truth = 1) AS r, count(*) FILTER (truth = 1) AS a FROM c GROUP BY GROUPING SETS ((), (form), (quality))) SELECT CASE g WHEN 3 THEN 'all' WHEN 1 THEN 'form' ELSE 'quality' END AS level, coalesce(form, quality, '') AS name, n, CASE WHEN p > 0 THEN r * 10000 // p END AS precision_points, CASE WHEN a > 0 THEN r * 10000 // a END AS recall_points FROM g",
-    "t01_amounts": f"SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN {_CENTS} WHEN 1 THEN -{_CENTS} WHEN 2 THEN -{_CENTS} END AS cents, CASE o_orderkey % 8 WHEN 3 THEN 'dash' WHEN 4 THEN 'na' WHEN 7 THEN 'empty' END AS null_reason, CASE o_orderkey % 8 WHEN 5 THEN 'ambiguous_separator' WHEN 6 THEN 'sign_conflict' END AS rejection FROM orders",
+    "t01_amounts": "SELECT o_orderkey, CASE {k} " .format(k=f"o_orderkey % {len(FORMS)}") + " ".join(f"WHEN {i} THEN {x} * {_CENTS}" for i, (_, x) in enumerate(FORMS) if x in (1, -1)) + " END AS cents, " + ", ".join(f"CASE o_orderkey % {len(FORMS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x) in enumerate(FORMS) if isinstance(x, str) and (x in ("dash", "na", "empty")) == reason) + f" END AS {name}" for name, reason in (("null_reason", True), ("rejection", False))) + " FROM orders",
     "t15_labels": "SELECT p_partkey, 'total ' || trim(regexp_replace(lower(p_name || ' (net)'), '[^a-z0-9]+', ' ', 'g')) AS label FROM part",
-    "t16_similar_names": "WITH p AS (SELECT c_custkey, s_suppkey, CAST((greatest(length(c_name), length(s_name)) - levenshtein(lower(c_name), lower(s_name))) * 10000 // greatest(length(c_name), length(s_name)) AS INTEGER) AS points FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey % 10) SELECT c_custkey, s_suppkey, points FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY points DESC, s_suppkey) AS r FROM p) WHERE r = 1",
+    "t16_similar_names": "WITH p AS (SELECT c_custkey, s_suppkey, CAST((greatest(length(c_name), length(s_name)) - levenshtein(lower(c_name), lower(s_name))) * 10000 // greatest(length(c_name), length(s_name)) AS INTEGER) AS points FROM customer CROSS JOIN supplier WHERE c_custkey % 50 = 0) SELECT c_custkey, s_suppkey, points FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY points DESC, s_suppkey) AS r FROM p) WHERE r = 1",
     "t24_pii": "WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, '{s}' AS severity, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents" for k, s, p in (("ssn", "definite", text.SSN), ("ein", "definite", text.EIN), ("nine_digits", "possible", text.NINE))) + ") SELECT doc_id, kind, severity, regexp_replace(substr(m, 1, length(m) - 4), '[0-9]', '*', 'g') || right(m, 4) AS masked FROM h",
     "t25_garbled": "SELECT CASE WHEN text IS NULL OR length(trim(text)) < 40 THEN 'short' ELSE 'ok' END AS state, count(*) AS n FROM documents GROUP BY 1",
     "e05_proforma": f"""WITH b AS (SELECT o_custkey AS entity_id, sum({_CENTS}) AS r, o_custkey % 12 + 1 AS m FROM orders GROUP BY ALL),

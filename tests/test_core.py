@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fintally import catalog
 from fintally.functions import money
-from fintally.operators import gates, ledger, loans, scoring, text, workflow
+from fintally.operators import gates, ledger, loans, matching, scoring, statements, text, workflow
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +53,7 @@ def test_amounts_and_labels(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.normalize_amount(F.col("t")).alias("a")).collect()
     assert {r["t"]: r["a"]["cents"] for r in rows} == cases
     reasons = {r["t"]: (r["a"]["null_reason"], r["a"]["rejection"]) for r in rows}
-    assert reasons["—"] == ("dash", None) and reasons["1.234"] == (None, "ambiguous_separator") and reasons["-(5)"] == (None, "sign_conflict") and reasons[""] == ("empty", None)
+    assert reasons["—"] == ("dash", None) and reasons["1.234"] == (None, "ambiguous_separator") and reasons["-(5)"] == (None, "conflicting_signs") and reasons[""] == ("empty", None)
     assert spark.range(1).select(text.normalize_label(F.lit("4010 Total for Rent & Lease"))).first()[0] == "total rent lease"
 
 
@@ -122,10 +122,78 @@ def test_query_equals_its_sql(spark, name):
         assert got.num_rows > 0
         return
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     con.register("got", got)
     con.execute(f"create table want as {catalog.oracle_sql()[name]}")
     names = ", ".join(f'"{c}"' for c in sorted(got.column_names))
     assert con.execute(f"select count(*) from want").fetchall() == [(got.num_rows,)]
     assert con.execute(f"select count(*) from (select {names} from want except all select {names} from got)").fetchall() == [(0,)]
+
+
+# Printed amounts with their cents, or why there are none.
+AMOUNTS = (
+    ("(500)", -50000), ("(1,234.56)", -123456), ("($1,020.64)", -102064), ("−500", -50000), ("–500", -50000), ("500-", -50000), ("1,234.56-", -123456), ("( 500 )", -50000), ("-0", 0), ("(0.00)", 0),
+    ("-(500)", "conflicting_signs"), ("(500)-", "conflicting_signs"), ("-500-", "conflicting_signs"), ("1.020,64", 102064), ("1.234.567,89", 123456789), ("10 000", 1000000), ("10 000", 1000000), ("1 234 567", 123456700),
+    ("1'000", 100000), ("1'234'567", 123456700), ("10,50", 1050), ("10,5", 1050), ("€1.020,64", 102064), ("1,020", 102000), ("999,000", 99900000), ("1.020", "ambiguous_separator"), ("999.000", "ambiguous_separator"),
+    ("1234.567", "too_many_decimals"), ("1.2345", "too_many_decimals"), ("1.234.567", 123456700), ("1.23.456", "malformed_grouping"), ("12.3456.78", "malformed_grouping"), ("", "empty"), ("   ", "empty"), ("-", "dash"), ("—", "dash"),
+    ("---", "dash"), ("N/A", "na"), ("NA", "na"), ("none", "na"), ("0", 0), ("(0)", 0), ("1234.", 123400), ("123,", 12300), (".5", 50), ("$(1,234)", "not_a_number"), ("abc", "not_a_number"), ("9" * 25, "out_of_range"), (None, "empty"),
+)
+
+
+def test_amounts(spark):
+    rows = spark.createDataFrame([(t, str(w)) for t, w in AMOUNTS], "t string, want string")
+    got = rows.select("t", "want", text.normalize_amount(F.col("t")).alias("a")).collect()
+    assert [(r["t"], str(next(x for x in (r["a"]["cents"], r["a"]["null_reason"], r["a"]["rejection"]) if x is not None))) for r in got] == [(r["t"], r["want"]) for r in got]
+
+
+def test_amounts_of_cents_boxes_and_scales(spark):
+    rows = spark.createDataFrame([("1,234", "56", 1), ("1,234", "", 1), ("1,234", "—", 1), ("1,234", "5", 1), ("1,234.56", "78", 1), ("1,234", "5x", 1), ("1,234", "123", 1), ("2.5", None, 1_000_000), ("(500)", None, 1000)], "t string, b string, s int")
+    got = [tuple(r[0]) for r in rows.select(text.normalize_amount(F.col("t"), F.col("s"), F.col("b"))).collect()]
+    assert [x[0] for x in got] == [123456, 123400, 123400, 123405, None, None, None, 250000000, -50000000]
+    assert {x[2] for x in got[4:7]} == {"invalid_cents_box"}
+
+
+def test_row_types(spark):
+    lines = [("Revenue", {}), ("Rooms", {1: "100", 2: "—"}), ("Food", {1: "50"}), ("All of it", {1: "150"}), ("Rent", {1: "30"}), ("Wages", {1: "20"}), ("", {}), ("Total expenses", {1: "50"}), ("Everything", {1: "200"}), ("Net income", {1: "7"}), ("Depreciation", {1: "9"})]
+    rows = spark.createDataFrame([(7, i, label, cells) for i, (label, cells) in enumerate(lines)], "grid_id long, row int, label string, cells map<int, string>")
+    types = lambda **k: [(r["type"], r["verified"]) for r in statements.typed_rows(rows, **k).orderBy("row").collect()]
+    want = ["header", "item", "item", "subtotal", "item", "item", "section_break", "subtotal", "total", "total"]
+    assert [t for t, _ in types()] == [*want, "item"] and [t for t, _ in types(income=True)] == [*want, "supplemental"]
+    assert [i for i, (_, sure) in enumerate(types()) if sure] == [3, 7, 8]
+
+
+def test_names():
+    score = lambda a, b: matching.token_score(a.split(), b.split())
+    assert score("smith john", "john smith") == 1.0 and 0.72 <= score("john smith", "j smith") < 0.92
+    assert score("john smith", "jon smith") >= 0.92 and score("john smith", "jane smith") < 0.72 and score("", "a") == 0.0
+    forms = matching.business_forms
+    assert forms("acme corp dba sunrise motel") == [["acme"], ["sunrise", "motel"]] and forms("acme corporation llc") == [["acme"]]
+
+
+def test_fuzzy_candidates_equal_brute_force(spark):
+    base = "interest expense on long term notes payable to the bank"
+    known = [base[:n] for n in range(15, len(base), 3)]
+    labels = [k for n in known for k in (n, n[:4] + "x" + n[5:], n[1:], "zz" + n, n[:7] + n[9:] + "qq", n[:3] + "ab" + n[3:])]
+    got = {(r["label"], r["known"]) for r in matching.fuzzy_candidates(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x,) for x in known], "known string")).collect()}
+    every = spark.createDataFrame([(a, b) for a in set(labels) for b in known], "label string, known string").where("levenshtein(label, known) * 20 <= greatest(length(label), length(known))")
+    assert got == {(r["label"], r["known"]) for r in every.collect()} and len(got) > len(known)
+
+
+def test_entities_and_identities(spark):
+    named = spark.createDataFrame([(1, 1, "business", "Acme Corp"), (2, 1, "person", "J Smith"), (3, 1, "trust", "Sunrise Motel"), (4, 2, "person", "nobody")], "document_id long, deal_id long, kind string, identity string")
+    entities = spark.createDataFrame([(1, 10, "business", "ACME CORPORATION DBA Sunrise Motel"), (1, 11, "person", "John Smith"), (1, 12, "person", "John Smith")], "deal_id long, entity_id long, kind string, name string")
+    assert sorted(tuple(r) for r in matching.match_entities(named, entities).collect()) == [(1, 10, 10_000), (2, 11, 8_900), (3, 10, 10_000)]
+    seen = spark.createDataFrame([(1, 1, 2, "Acme Corp"), (1, 1, 1, "  "), (1, 2, 1, "Other"), (2, 1, 1, "ab")], "document_id long, field_order int, path int, value_text string")
+    assert [tuple(r) for r in matching.pick_identity(seen).collect()] == [(1, "Acme Corp")]
+
+
+def test_loan_summaries_equal_schedules(spark):
+    rows = spark.createDataFrame([(1, 5_000_000, 60, [(1, 700), (13, 850)], 6), (2, 100_000, 12, [(1, 0)], 0)], "loan_id long, principal_cents long, term_months int, steps array<struct<month:int,bps:int>>, interest_only int")
+    both = [sorted(tuple(r) for r in f.collect()) for f in (loans.summaries(rows), loans.debt_service(loans.amortize(rows), rows))]
+    assert both[0] == both[1] and both[0][1] == (2, 99_996, 0)
+
+
+def test_statement_periods_and_facts(spark):
+    rows = spark.createDataFrame([(1, 0, "", {1: "Notes", 2: "FY2020"}), (1, 1, "", {1: "Mar 2021", 2: "FY2019"}), (1, 9, "", {3: "2018"})], "grid_id long, row int, label string, cells map<int, string>")
+    assert sorted(tuple(r) for r in statements.first_periods(rows).collect()) == [(1, 1, "2021-03", "month"), (1, 2, "FY2020", "year")]
