@@ -25,6 +25,8 @@ from fintally.llm.common import held_out, slices, table
 
 #: Labelled documents of each language that the model learns from at most: those with the least hash of the id.
 SAMPLE = 1000
+#: Counts of up to so many languages are broadcast.
+LANGUAGES = 10_000
 BINS = 1 << 13
 ROUNDS, PENALTY, SMOOTHING = 12, 2.0, 0.5
 UNKNOWN = "und"
@@ -75,6 +77,8 @@ def fit(docs: DataFrame) -> Model:
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
     # twice the sample by a threshold of the hash first, so that no task ranks a whole language
     n = known.groupBy("lang").agg(F.count("*").alias("n"))
+    if n.limit(LANGUAGES + 1).count() <= LANGUAGES:  # else Spark may deal the rows by language to join them
+        n = F.broadcast(n)
     near = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63)) < F.lit(2.0 * SAMPLE) / F.col("n")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 1), "doc_id"))
     chosen = known.select("doc_id", "lang").join(n, "lang").where(near).withColumn("place", place).where(F.col("place") <= SAMPLE).select("doc_id", "lang").distinct()
