@@ -13,7 +13,8 @@ from fintally.operators.workflow import jaro_winkler
 
 #: Labels fuzzily equal differ in at most one of so many characters of the longer one.
 CHARS_PER_EDIT = 20
-# Legal suffixes of business names.
+# Kinds of entities that are persons; legal suffixes of business names.
+PERSONS = ("guarantor", "spouse", "person")
 SUFFIXES = frozenset("llc inc corp corporation co ltd lp llp pllc pc pa plc company incorporated limited".split())
 
 
@@ -107,29 +108,30 @@ def name_points(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         for x, y, k in zip(a, b, kind, strict=True):
             if x is None or y is None:
                 out.append(None)
-            elif k == "business":
-                out.append(round(10_000 * max((token_score(p, q) for p in business_forms(x) for q in business_forms(y)), default=0.0)))
+            elif k != "person":
+                out.append(int(10_000 * max((token_score(p, q) for p in business_forms(x) for q in business_forms(y)), default=0.0) + 0.5))
             else:
-                out.append(round(10_000 * token_score(x.split(), y.split())))
+                out.append(int(10_000 * token_score(x.split(), y.split()) + 0.5))
         yield pd.Series(out, dtype="Int32")
 
 
 def pick_identity(candidates: DataFrame) -> DataFrame:
-    """The identity text of each document: the first field in order with three characters or more, the first path before the second."""
+    """The identity text of each document: of the first path, then of the second, the first field with three characters or more."""
     usable = candidates.where(F.length(F.trim("value_text")) >= 3)
-    return usable.groupBy("document_id").agg(F.min_by(F.trim("value_text"), F.struct("field_order", "path")).alias("identity"))
+    return usable.groupBy("document_id").agg(F.min_by(F.trim("value_text"), F.struct("path", "field_order")).alias("identity"))
 
 
 def match_entities(named: DataFrame, entities: DataFrame) -> DataFrame:
-    """The entity of each document by its name: of those of its deal and kind, or of any kind if there is none of it; first of ties.
+    """The entity of each document by its name: of its deal's persons or of its others, as the identity is, or of all if there is none such.
 
-    named: document_id, deal_id, kind, identity; entities: deal_id, entity_id, kind, name. A deal has few entities, so
-    that pairs are those within a deal.
+    named: document_id, deal_id, kind, identity; entities: deal_id, entity_id, kind, name. Names are compared as the
+    identity's kind says; the first of ties wins, and a score of zero names no entity. A deal has few entities, so that
+    pairs are those within a deal; a document of a deal without any has no row.
     """
     e = entities.select("deal_id", "entity_id", F.col("kind").alias("entity_kind"), "name")
-    pairs = named.join(e, "deal_id").withColumn("same", (F.col("kind") == F.col("entity_kind")).cast("int"))
+    pairs = named.join(e, "deal_id").withColumn("same", ((F.col("kind") == "person") == F.col("entity_kind").isin(*PERSONS)).cast("int"))
     fits = pairs.groupBy("document_id").agg(F.max("same").alias("any_same"))
     pairs = pairs.join(fits, "document_id").where(F.col("same") == F.col("any_same"))
-    points = name_points(clean(F.col("identity")), clean(F.col("name")), F.col("entity_kind"))
+    points = F.coalesce(name_points(clean(F.col("identity")), clean(F.col("name")), F.col("kind")), F.lit(0))
     scored = pairs.withColumn("points", points)
-    return scored.groupBy("document_id").agg(F.min_by(F.struct("entity_id", "points"), F.struct(-F.col("points"), "entity_id")).alias("m")).select("document_id", "m.entity_id", "m.points")
+    return scored.groupBy("document_id").agg(F.min_by(F.struct("entity_id", "points"), F.struct(-F.col("points"), "entity_id")).alias("m")).select("document_id", F.when(F.col("m.points") > 0, F.col("m.entity_id")).alias("entity_id"), "m.points")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fintally import catalog
 from fintally.functions import money
-from fintally.operators import gates, ledger, loans, matching, scoring, statements, text, workflow
+from fintally.operators import gates, ledger, loans, matching, page_signals, review, scoring, statements, text, workflow
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,7 +185,7 @@ def test_entities_and_identities(spark):
     entities = spark.createDataFrame([(1, 10, "business", "ACME CORPORATION DBA Sunrise Motel"), (1, 11, "person", "John Smith"), (1, 12, "person", "John Smith")], "deal_id long, entity_id long, kind string, name string")
     assert sorted(tuple(r) for r in matching.match_entities(named, entities).collect()) == [(1, 10, 10_000), (2, 11, 8_900), (3, 10, 10_000)]
     seen = spark.createDataFrame([(1, 1, 2, "Acme Corp"), (1, 1, 1, "  "), (1, 2, 1, "Other"), (2, 1, 1, "ab")], "document_id long, field_order int, path int, value_text string")
-    assert [tuple(r) for r in matching.pick_identity(seen).collect()] == [(1, "Acme Corp")]
+    assert [tuple(r) for r in matching.pick_identity(seen).collect()] == [(1, "Other")]  # the first path goes first
 
 
 def test_loan_summaries_equal_schedules(spark):
@@ -197,3 +197,48 @@ def test_loan_summaries_equal_schedules(spark):
 def test_statement_periods_and_facts(spark):
     rows = spark.createDataFrame([(1, 0, "", {1: "Notes", 2: "FY2020"}), (1, 1, "", {1: "Mar 2021", 2: "FY2019"}), (1, 9, "", {3: "2018"})], "grid_id long, row int, label string, cells map<int, string>")
     assert sorted(tuple(r) for r in statements.first_periods(rows).collect()) == [(1, 1, "2021-03", "month"), (1, 2, "FY2020", "year")]
+
+
+def test_entity_of_the_identitys_kind(spark):
+    named = spark.createDataFrame([(1, 1, "person", "John Smith"), (2, 1, "business", "Smith Bakery LLC"), (3, 1, "business", "zq"), (4, 2, "person", "Acme")], "document_id long, deal_id long, kind string, identity string")
+    entities = spark.createDataFrame([(1, 10, "target", "John Smith"), (1, 11, "spouse", "Jon Smith"), (1, 12, "oc", "Smith Bakery Inc"), (2, 13, "target", "Acme")], "deal_id long, entity_id long, kind string, name string")
+    got = {r["document_id"]: (r["entity_id"], r["points"]) for r in matching.match_entities(named, entities).collect()}
+    assert got[1][0] == 11 and got[2] == (12, 10_000) and got[3] == (None, 0) and got[4] == (13, 10_000)
+
+
+def test_page_signals_by_hand(spark):
+    pages = {
+        "Form 1120-S U.S. Income Tax Return OMB No. 1545-0123 For calendar year 2022": ("1120S", 2022, True, None, 9_800),
+        "Form 1120-F foreign OMB No. 1545-0123 Schedule L Balance Sheets": (None, None, False, None, 0),
+        "Form 1120Department of the Treasury": ("1120", None, False, None, 9_000),
+        "Form 1040-SR page 2": ("1040", None, False, 2, 9_000),
+        "Form 1040-NR": (None, None, False, None, 0),
+        "(attach Form 4562) nothing": (None, None, False, None, 0),
+        "attach\u00a0Form\u00a04562": (None, None, False, None, 0),
+        "Schedule K-1 (Form 1065), box 1": ("1065", None, False, None, 9_000),  # a box of a K-1 is no K-1, but its form is printed
+        "copy B OMB No. 1545-0008": ("W2", None, True, None, 9_500),
+        "Acme Inc Statement of Revenue and Expenses": ("PNL", None, False, None, 7_500),
+        "x" * 500 + " Form 1065": (None, None, False, None, 0),
+        "": (None, None, False, None, 0),
+    }
+    rows = spark.createDataFrame([*pages.items(), (None, None)], "text string, want struct<a:string,b:int,c:boolean,d:int,e:int>")
+    got = page_signals.page_signals(rows, "text", "want").drop("matched").collect()
+    assert len(got) == len(pages) + 1
+    for r in got:
+        assert r["want"] is None and r["family"] is None or (r["family"], r["tax_year"], r["starts"], r["continuation_page"], r["confidence_bps"]) == tuple(r["want"]), r
+
+
+def test_token_evidence_and_claims(spark):
+    rows = [("x" * 450 + " Form 4562", "4562", "unanchored"), ("attach Form 4562 then x Form 4562", "4562", "anchored"), ("see Form 4562, attach Form 4562", "4562", "cited-only"), ("none", "4562", "absent"), (None, "4562", "absent"), ("Form 4562", "PNL", "absent"), ("Form 4562", None, "absent")]
+    df = spark.createDataFrame(rows, "text string, family string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", page_signals.token_evidence(F.col("text"), F.col("family")).alias("got")).collect())
+    prints = {"Schedule  K1 (Form 1120-S)": "K1_1120S", "schedule c (form 1040 or 1040-sr)": "1040_SCH_C", "Form W-2": "W2", "8949": None, None: None}
+    df = spark.createDataFrame(list(prints.items()), "printed string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", page_signals.printed_family(F.col("printed")).alias("got")).collect())
+
+
+def test_reverts_restore_the_original(spark):
+    facts = spark.createDataFrame([("a", "overridden", "llm", "b"), ("b", "accepted", "override", None), ("c", "accepted", "override", None), ("d", "overridden", "llm", "e"), ("e", "accepted", "human", None)], "id string, status string, method string, superseded_by string")
+    asked = spark.createDataFrame([("b",), ("b",), ("c",), ("e",), (None,)], "fact_id string")
+    got = sorted(tuple(r) for r in review.reverted(facts, asked).collect())
+    assert got == [("a", "accepted", "llm", None), ("b", "rejected", "override", None), ("c", "accepted", "override", None), ("d", "overridden", "llm", "e"), ("e", "accepted", "human", None)]
