@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from fintally.functions.money import decimal_ratio, half_even
 UNIT = 10**18
 #: Loans whose schedules are one batch.
 LOANS = 256
+#: Principals and monthly rates below these run through the months together, in 64-bit halves of their products.
+MOST_PRINCIPAL, MOST_RATE = 10**15, 10**17
 
 
 def round_half_even(n: int, d: int) -> int:
@@ -23,6 +27,7 @@ def round_half_even(n: int, d: int) -> int:
     return -whole if (n < 0) != (d < 0) else whole
 
 
+@lru_cache(maxsize=1 << 14)
 def compound(rate: int, periods: int) -> int:
     """(1 + rate) to a power, in units of UNIT, each product rounded half to even; by squaring."""
     out, base = UNIT, UNIT + rate
@@ -43,12 +48,9 @@ def level_payment(balance: int, rate: int, periods: int) -> int:
     return round_half_even(balance * rate * factor, UNIT * (factor - UNIT))
 
 
-def schedule(principal: int, term: int, steps: list[tuple[int, int]], interest_only: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """(month, payment, interest, principal, balance) of a loan; steps: (first month, annual rate in bps), re-amortized at each.
-
-    Raises on a term or principal below one, no step, a first step after month 1, steps out of order, a negative rate
-    or an interest-only period outside of the term.
-    """
+def checked(principal: int, term: int, steps: list[tuple[int, int]], interest_only: int) -> None:
+    """Raises on a term or principal below one, no step, a first step after month 1, steps out of order, a negative rate
+    or an interest-only period outside of the term."""
     months = [m for m, _ in steps]
     if term < 1 or principal < 1:
         raise ValueError("principal and term must be positive")
@@ -56,6 +58,14 @@ def schedule(principal: int, term: int, steps: list[tuple[int, int]], interest_o
         raise ValueError("rate steps must start at month 1 and rise")
     if any(r < 0 for _, r in steps) or not 0 <= interest_only < term:
         raise ValueError("rates must not be negative, and the interest-only period must be shorter than the term")
+
+
+def schedule(principal: int, term: int, steps: list[tuple[int, int]], interest_only: int = 0) -> list[tuple[int, int, int, int, int]]:
+    """(month, payment, interest, principal, balance) of a loan; steps: (first month, annual rate in bps), re-amortized at each.
+
+    Raises as checked() does.
+    """
+    checked(principal, term, steps, interest_only)
     rate_at, out, balance, payment = dict(steps), [], principal, None
     rate = 0
     for month in range(1, term + 1):
@@ -98,16 +108,70 @@ def debt_service(schedules: DataFrame, loans: DataFrame) -> DataFrame:
     return first.groupBy("loan_id").agg((F.min(F.when(F.col("month") == F.col("interest_only") + 1, F.col("payment_cents"))) * 12).alias("annual_debt_service"), F.sum("interest_cents").alias("total_interest"))
 
 
+def interests(balance: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """balance * rate / UNIT for each pair of numbers from 0 to below UNIT, halves to even; exact, by halves of nine digits."""
+    half = 10**9
+    b1, b0 = np.divmod(balance, half)
+    r1, r0 = np.divmod(rate, half)
+    low = b0 * r0
+    middle = b0 * r1 + b1 * r0 + low // half
+    whole = b1 * r1 + middle // half
+    twice = 2 * (middle % half * half + low % half)
+    return whole + ((twice > UNIT) | ((twice == UNIT) & (whole % 2 == 1)))
+
+
+def summarized(loans: list[tuple[int, int, list[tuple[int, int]], int]]) -> list[tuple[int, int]]:
+    """(twelve first amortizing payments, total interest) of each loan (principal, term, steps, interest_only).
+
+    All loans go through a month together, those of the longest terms first. Only level payments are computed loan by
+    loan, one for each rate step. Loans beyond the bounds of interests() go through their own schedule.
+    """
+    out = [(0, 0)] * len(loans)
+    small = []
+    for i, (principal, term, steps, free) in enumerate(loans):
+        checked(principal, term, steps, free)
+        if principal < MOST_PRINCIPAL and all(r * UNIT < MOST_RATE * 120_000 for _, r in steps):
+            small.append(i)
+        else:
+            months = schedule(principal, term, steps, free)
+            out[i] = (12 * months[free][1], sum(m[2] for m in months))
+    small.sort(key=lambda i: -loans[i][1])
+    balance, terms, free = (np.array([loans[i][k] for i in small], np.int64) for k in (0, 1, 3))
+    rate, payment, total, service = (np.zeros(len(small), np.int64) for _ in range(4))
+    changes: dict[int, dict[int, int]] = {}
+    due: dict[int, set[int]] = {}
+    for at, i in enumerate(small):
+        for month, bps in loans[i][2]:
+            changes.setdefault(month, {})[at] = round_half_even(bps * UNIT, 120_000)
+            due.setdefault(max(month, loans[i][3] + 1), set()).add(at)
+        due.setdefault(loans[i][3] + 1, set()).add(at)
+    for month in range(1, int(terms.max(initial=0)) + 1):
+        n = int(np.searchsorted(-terms, -month, side="right"))
+        for at, new in changes.get(month, {}).items():
+            rate[at] = new
+        for at in due.get(month, ()):
+            if at < n:
+                payment[at] = level_payment(int(balance[at]), int(rate[at]), int(terms[at]) - month + 1)
+        interest = interests(balance[:n], rate[:n])
+        total[:n] += interest
+        paid = np.where(terms[:n] > month, payment[:n], balance[:n] + interest)
+        down = np.where(free[:n] < month, np.minimum(paid - interest, balance[:n]), 0)
+        balance[:n] -= down
+        service[:n] = np.where(free[:n] + 1 == month, 12 * (down + interest), service[:n])
+    for at, i in enumerate(small):
+        out[i] = (int(service[at]), int(total[at]))
+    return out
+
+
 def summaries(loans: DataFrame) -> DataFrame:
-    """Annual debt service and total interest of each loan, from its schedule in the task that makes it: no row for a month leaves it."""
+    """Annual debt service and total interest of each loan, from its months in the task that makes them: no row for a month leaves it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for loan, principal, term, steps, free in zip(batch["loan_id"], batch["principal_cents"], batch["term_months"], batch["steps"], batch["interest_only"], strict=True):
-                months = schedule(int(principal), int(term), [(int(s["month"]), int(s["bps"])) for s in steps], int(free))
-                rows.append((loan, 12 * months[int(free)][1], sum(m[2] for m in months)))
-            yield pd.DataFrame(rows, columns=["loan_id", "annual_debt_service", "total_interest"])
+            steps = [[(int(s["month"]), int(s["bps"])) for s in each] for each in batch["steps"]]
+            rows = zip(batch["principal_cents"].tolist(), batch["term_months"].tolist(), steps, batch["interest_only"].tolist(), strict=True)
+            found = summarized([(int(p), int(t), s, int(f)) for p, t, s, f in rows])
+            yield pd.DataFrame({"loan_id": batch["loan_id"], "annual_debt_service": [a for a, _ in found], "total_interest": [b for _, b in found]})
 
     return loans.select("loan_id", "principal_cents", "term_months", "steps", "interest_only").mapInPandas(run, "loan_id long, annual_debt_service long, total_interest long")
 

@@ -1,6 +1,7 @@
 """Operators of the engine: money, ledger, gates, scoring, loans, text; and the SQL twins on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -242,3 +243,18 @@ def test_reverts_restore_the_original(spark):
     asked = spark.createDataFrame([("b",), ("b",), ("c",), ("e",), (None,)], "fact_id string")
     got = sorted(tuple(r) for r in review.reverted(facts, asked).collect())
     assert got == [("a", "accepted", "llm", None), ("b", "rejected", "override", None), ("c", "accepted", "override", None), ("d", "overridden", "llm", "e"), ("e", "accepted", "human", None)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 10**17), st.integers(1, 80), st.lists(st.tuples(st.integers(2, 90), st.integers(0, 130_000)), max_size=3, unique_by=lambda s: s[0]), st.integers(0, 2500), st.integers(0, 30)), max_size=6))
+def test_summaries_equal_each_schedule(drawn):
+    many = [(p, t, [(1, first), *sorted(rest)], min(free, t - 1)) for p, t, rest, first, free in drawn]
+    each = [loans.schedule(*loan) for loan in many]
+    assert loans.summarized(many) == [(12 * months[loan[3]][1], sum(m[2] for m in months)) for loan, months in zip(many, each, strict=True)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 10**18 - 1), st.integers(0, 10**18 - 1)), min_size=1))
+def test_interests_are_exact(pairs):
+    pairs = [*pairs, (1, loans.UNIT // 2), (3, loans.UNIT // 2)]
+    a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+    assert loans.interests(a, b).tolist() == [loans.round_half_even(x * y, loans.UNIT) for x, y in pairs]
