@@ -16,6 +16,9 @@ MODULES = {
     "op8_quality_classifier": "quality_neighbours",
     "op9_secret_scans": "secret_scans",
     "op10_media_columns": "transport_streams",
+    "op11_phrases": "suffix_phrases",
+    "op12_clustering": "centroid_clusters",
+    "op13_mixture": "source_mixture",
 }
 
 
