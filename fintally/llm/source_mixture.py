@@ -47,9 +47,9 @@ def _order(*parts: Column) -> Column:
 
 
 def water_level(volume: Column, weight: Column, cap: Column, by: list[str]) -> Column:
-    """Over a group of by: the level x at which the sum of least(cap, weight * x) is the volume, the greatest of a column; above all ratios if the caps are below the volume.
+    """The greatest of this column in a group of by is the level x at which the sum of least(cap, weight * x) is the volume.
 
-    That sum is the least of the lines caps-so-far + other-weights * x in order of cap / weight, so x is the greatest
+    It is above all ratios where the caps are below the volume. That sum is the least of the lines caps-so-far + other-weights * x in order of cap / weight, so x is the greatest
     of their solutions.
     """
     order = Window.partitionBy(*by).orderBy(cap / weight, weight, cap)
@@ -117,7 +117,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
     held = parts.where("words > 0").groupBy("source_no", "shard").agg(F.sum("words").alias("shard_words"))
     held = held.withColumn("blocks", F.greatest(F.lit(1), F.floor(F.col("shard_words") / block + 0.5)).cast("long")).withColumn("group", F.floor(F.col("shard") / GROUP))
-    quotas = written(_quotas(held, sources.where("source_size > 0").select("source_no", "weight"), share, most, block))
+    quotas = written(_quotas(held, sources.select("source_no", "weight", "target"), most))
 
     taken = _taken(parts.where("words > 0").join(quotas, ["source_no", "shard"]))
     none = parts.where("words = 0").withColumn("taken", F.lit(0).cast("long")).select(taken.columns)
@@ -126,11 +126,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     return each.select("doc_id", "size", "source_size", "target", dealt.alias("taken"))
 
 
-def _quotas(held: DataFrame, weights: DataFrame, share: float, most: int, block: int) -> DataFrame:
-    """source_no, shard, shard_words, blocks, quota: block uses of each shard."""
+def _quotas(held: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """source_no, shard, shard_words, blocks, quota: block uses of each shard.
+
+    A source's blocks are equal, but may be longer or shorter than another's if it has few: weights and targets are
+    those of its own blocks. The sum of targets is taken in millionths, so that it doesn't depend on its order.
+    """
     groups = held.groupBy("source_no", "group").agg(F.sum("blocks").alias("group_blocks"), F.sum("shard_words").alias("group_words"))
-    top = groups.groupBy("source_no").agg(F.sum("group_blocks").alias("source_blocks"), F.sum("group_words").alias("words")).join(weights, "source_no")
-    volume = F.round(F.sum("words").over(Window.partitionBy()) * share / block).cast("long")
+    top = groups.groupBy("source_no").agg(F.sum("group_blocks").alias("source_blocks"), F.sum("group_words").alias("words")).join(sources, "source_no")
+    per_word = F.col("source_blocks") / F.col("words")
+    top = top.withColumn("weight", F.col("weight") * per_word).withColumn("wanted", F.round(F.col("target") * per_word * 1000000).cast("long"))
+    volume = F.round(F.sum("wanted").over(Window.partitionBy()) / 1000000).cast("long")
     top = top.withColumn("volume", volume).withColumn("cap", F.col("source_blocks") * most)
     top = apportioned(top, [], "source_no", "volume", "weight", "cap").select("source_no", F.col("quota").alias("volume"))
     middle = groups.join(top, "source_no").withColumn("cap", F.col("group_blocks") * most)
@@ -184,11 +190,14 @@ placed as (
   from docs d join targets t on d.source is not distinct from t.source),
 shards as (
   select no, shard, sum(size)::bigint as words, greatest(1, floor(sum(size) / 32.0 + 0.5))::bigint as blocks from placed where size > 0 group by no, shard),
+blocks as (
+  select s.no, any_value(t.weight) * (sum(s.blocks)::double / sum(words)::double) as weight, sum(s.blocks)::bigint as blocks,
+         round(any_value(t.target) * (sum(s.blocks)::double / sum(words)::double) * 1000000)::bigint as wanted
+  from shards s join targets t on t.no = s.no group by s.no),
 source_quota as (
   select no, count(*) as quota from (
-    select no, weight / (2 * k + 1) as q, k from (
-      select s.no, any_value(t.weight) as weight, unnest(range(2 * sum(s.blocks)::bigint)) as k from shards s join targets t on t.no = s.no group by s.no)
-    qualify row_number() over (order by q desc, no, k) <= (select round(sum(words) * 1.5 / 32) from shards)) group by no),
+    select no, weight / (2 * k + 1) as q, k from (select no, weight, unnest(range(2 * blocks)) as k from blocks)
+    qualify row_number() over (order by q desc, no, k) <= (select round(sum(wanted) / 1000000) from blocks)) group by no),
 shard_quota as (
   select no, shard, count(*) as quota from (
     select s.no, s.shard, s.q, s.k, z.quota as most from (
