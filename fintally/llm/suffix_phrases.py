@@ -123,10 +123,10 @@ def _hashes(lang: str, words: pa.Array) -> np.ndarray:
 
 
 def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of two words' hashes."""
+    """A hash of two words' hashes, of 48 bits: the shuffled rows are shorter."""
     x = first * np.uint64(0x9E3779B97F4A7C15) + second
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & np.uint64((1 << 48) - 1)
 
 
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray, limit: int = SHARD) -> Da
 
 
 def phrase_counts(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, limit: int = SHARD) -> DataFrame:
-    """lang, phrase, size, f of phrases of 2 to LONGEST words whose words and neighbours may all be frequent."""
+    """lang, phrase, f of phrases of 2 to LONGEST words whose words and neighbours may all be frequent."""
     given = docs.sparkSession.sparkContext.broadcast((frequent, pairs))
 
     def run(lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
@@ -210,10 +210,9 @@ def phrase_counts(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, limi
         for n in range(2, LONGEST + 1):
             at, counts = intervals(order, common, reach, n)
             phrase = pc.binary_join_element_wise(*(words.take(pa.array(chain[at + k])) for k in range(n)), " ")
-            size = pa.repeat(pa.scalar(n, pa.int32()), len(at))
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), phrase, size, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "size", "f"])
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), phrase, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
 
-    return _mapped(docs, run, "lang string, phrase string, size int, f long", limit).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+    return _mapped(docs, run, "lang string, phrase string, f long", limit).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _joined(words: Column, start: Column, n: Column) -> Column:
@@ -248,7 +247,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, bi
     totals, words = words.where("word is null").select("lang", F.col("f").alias("n")), words.where("word is not null")
     frequent = _bit_array(words.select(F.xxhash64("lang", "word").alias("h")), bits)
     pairs = _bit_array(pair_counts(docs, frequent, shard).where(F.col("f") >= min_count), bits)
-    phrases = written(phrase_counts(docs, frequent, pairs, shard).where(F.col("f") >= min_count))
+    phrases = written(phrase_counts(docs, frequent, pairs, shard).where(F.col("f") >= min_count)).withColumn("size", F.size(F.split("phrase", " ")))
     counts = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(phrases.select("lang", "phrase", "f"))
     kept = _cuts(phrases, counts).join(_inner(phrases), ["lang", "phrase"], "left").where("around is null or cast(100 as decimal(38,0)) * around < cast(%d as decimal(38,0)) * a" % COVERED)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
