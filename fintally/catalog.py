@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review")
+PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review", "periods")
 
 
 def _all(name: str) -> dict:

@@ -1,4 +1,4 @@
-"""Financial statements of laid-out cells: grids, row types by arithmetic, period headers, and facts of rows.
+"""Financial statements of laid-out cells: grids, row types by arithmetic, and facts of rows.
 
 A grid's rows are read in order with running sums, which no frame expresses: they are sorted within their task and read
 as a stream, so that a task holds the sums of one grid and not its rows.
@@ -10,19 +10,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fintally.operators.text import normalize_amount
 
 #: Sums equal within so many cents.
 TOLERANCE = 100
-# Words that claim a total; the bottom line of an income statement; names of months.
+# Words that claim a total; the bottom line of an income statement.
 TOTAL = re.compile(r"^(total|net (income|profit|loss)|gross profit)\b", re.IGNORECASE)
 GRAND = re.compile(r"^(grand total|net (income|profit|loss)|total (assets|liabilities (and|&) (equity|capital|net worth|stockholders.? equity|shareholders.? equity)))", re.IGNORECASE)
 BOTTOM = re.compile(r"^net (income|profit|loss)( ?/? ?\((loss|deficit)\))?\s*$", re.IGNORECASE)
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 
 
 def grid_rows(cells: DataFrame) -> DataFrame:
@@ -103,55 +101,6 @@ class Running:
         return "item", False
 
 
-def _month(name: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(name), 1, 3)).cast("int")
-
-
-def period_header(text: Column) -> Column:
-    """struct<kind, label, start_date, end_date> of a column header, null where it names no period.
-
-    In this order: trailing twelve months to a month, quarter, range of months, year or period ended on a date, a date
-    `as of`, month and year, fiscal or plain year of 1990 to 2100.
-    """
-    t = F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
-    number = lambda pattern, k: part(pattern, k).try_cast("int")
-    first = lambda y, m: F.try_make_timestamp_ntz(y, m, F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    made = lambda kind, label, start, end: F.struct(F.lit(kind).alias("kind"), label.alias("label"), start.alias("start_date"), end.alias("end_date"))
-    ym = lambda d: F.date_format(d, "yyyy-MM")
-    ttm = rf"^(?:ttm|t-?12|trailing (?:12|twelve) months)(?: ended| ending| through)? {_MONTH}(?: \d{{1,2}},?)? (\d{{4}})$"
-    ttm_end = F.last_day(first(number(ttm, 2), _month(part(ttm, 1))))
-    quarter = r"^(?:q([1-4])[ -]?(?:fy)?'?(\d{4})|(\d{4})[ -]?q([1-4]))$"
-    q, qy = F.coalesce(number(quarter, 1), number(quarter, 4)), F.coalesce(number(quarter, 2), number(quarter, 3))
-    q_start = first(qy, q * 3 - 2)
-    span = rf"^{_MONTH}(?: (\d{{4}}))? ?(?:-|–|to|through) ?{_MONTH} (\d{{4}})$"
-    span_end = F.last_day(first(number(span, 4), _month(part(span, 3))))
-    span_start = first(F.coalesce(number(span, 2), number(span, 4)), _month(part(span, 1)))
-    ended = rf"^(?:for the )?(?:fiscal )?(?:year|twelve months|12 months)[ -]end(?:ed|ing)? {_MONTH} (\d{{1,2}}),? (\d{{4}})$"
-    ended_on = F.last_day(first(number(ended, 3), _month(part(ended, 1))))
-    as_of = rf"^as (?:of|at) {_MONTH} (\d{{1,2}}),? (\d{{4}})$"
-    as_of_on = F.date_add(first(number(as_of, 3), _month(part(as_of, 1))), number(as_of, 2) - 1)
-    month = rf"^{_MONTH}[ -]'?(\d{{4}})$"
-    month_start = first(number(month, 2), _month(part(month, 1)))
-    year = r"^(?:fy|fiscal year|year|tax year|cy)? ?'?(\d{4})$"
-    y = number(year, 1)
-    return (
-        F.when(t.rlike(ttm), made("ttm", F.concat(F.lit("TTM "), ym(ttm_end)), F.add_months(F.date_add(ttm_end, 1), -12), ttm_end))
-        .when(t.rlike(quarter), made("quarter", F.concat(qy, F.lit("-Q"), q), q_start, F.last_day(F.add_months(q_start, 2))))
-        .when(t.rlike(span) & (span_start <= span_end), made("range", F.concat(ym(span_start), F.lit(".."), ym(span_end)), span_start, span_end))
-        .when(t.rlike(ended), made("year", F.concat(F.lit("FY"), F.year(ended_on)), F.add_months(F.date_add(ended_on, 1), -12), ended_on))
-        .when(t.rlike(as_of), made("as_of", F.concat(F.lit("As of "), as_of_on.cast("string")), as_of_on, as_of_on))
-        .when(t.rlike(month), made("month", ym(month_start), month_start, F.last_day(month_start)))
-        .when(t.rlike(year) & y.between(1990, 2100), made("year", F.concat(F.lit("FY"), y), first(y, F.lit(1)), F.last_day(first(y, F.lit(12)))))
-    )
-
-
-def first_periods(rows: DataFrame, most: int = 5) -> DataFrame:
-    """(grid_id, col, label, kind): the first header among a grid's first rows that names a period, for each column."""
-    cells = rows.where(F.col("row") < most).select("grid_id", "row", F.explode("cells").alias("col", "text")).withColumn("p", period_header(F.col("text")))
-    return cells.where("p is not null").groupBy("grid_id", "col").agg(F.min_by(F.struct("p.label", "p.kind"), "row").alias("p")).select("grid_id", "col", "p.label", "p.kind")
-
-
 def row_facts(values: DataFrame) -> DataFrame:
     """(grid_id, node, period_label, value_cents, source) that survive double counting, of (grid_id, node, period_label, type, value_cents).
 

@@ -285,16 +285,6 @@ SELECT * FROM a WHERE action IS NOT NULL""",
 }
 
 
-HEADERS = ("FY2021", "2019", "Q3 2020", "2020-Q1", "Mar 2021", "September-2022", "Year ended June 30, 2018", "As of Dec 31, 2020", "TTM Jun 2023", "Jan 2020 - Mar 2020", "Oct - Dec 2019", "1989", "Notes", "trailing twelve months ended May 31, 2022", "Feb 2024")
-HEADER_LABELS = ("FY2021", "FY2019", "2020-Q3", "2020-Q1", "2021-03", "2022-09", "FY2018", "As of 2020-12-31", "TTM 2023-06", "2020-01..2020-03", "2019-10..2019-12", None, None, "TTM 2022-05", "2024-02")
-HEADER_ENDS = ("2021-12-31", "2019-12-31", "2020-09-30", "2020-03-31", "2021-03-31", "2022-09-30", "2018-06-30", "2020-12-31", "2023-06-30", "2020-03-31", "2019-12-31", None, None, "2022-05-31", "2024-02-29")
-
-
-def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = statements.period_header(case(F.col(K), HEADERS))
-    return orders(spark, sf_dir).select(K, p["label"].alias("label"), p["end_date"].cast("string").alias("end_date"))
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid for each order: its lines as rows of dollars, a header row above and their sum in the last row."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", from_double(F.col("l_extendedprice")).alias("cents")))).alias("lines"))
@@ -314,7 +304,6 @@ def row_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
-    "t02_period_headers": headers,
     "t11_grid_rows": lambda s, d: statements.grid_rows(cells(s, d)).select("grid_id", "row", "label", F.size("cells").alias("n_cells"), F.element_at("cells", 1).alias("first")),
     "t12_row_types": lambda s, d: statements.typed_rows(statements.grid_rows(cells(s, d))).select("grid_id", "row", "type", "verified"),
     "t14_row_facts": row_facts,
@@ -323,7 +312,6 @@ _TEXT = "(CAST({c} AS BIGINT) // 100) || '.' || lpad(CAST(CAST({c} AS BIGINT) %
 _LINES = """l AS (SELECT l_orderkey AS g, l_partkey AS p, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem),
 s AS (SELECT g, sum(c) AS c, max(r) + 1 AS r FROM l GROUP BY g)"""
 ORACLES |= {
-    "t02_period_headers": f"SELECT o_orderkey, {case_sql('o_orderkey', HEADER_LABELS)} AS label, {case_sql('o_orderkey', HEADER_ENDS)} AS end_date FROM orders",
     "t11_grid_rows": f"WITH {_LINES} SELECT g AS grid_id, CAST(r AS INTEGER) AS row, 'Part ' || p AS label, CAST(2 AS INTEGER) AS n_cells, {_TEXT.format(c='c')} AS first FROM l UNION ALL SELECT g, r, 'Sum of all', 1, {_TEXT.format(c='c')} FROM s UNION ALL SELECT DISTINCT g, 0, 'Lines', 0, NULL FROM l",
     # a line may repeat the sum of the lines above it; it is then a subtotal, and the running sums begin afresh
     "t12_row_types": f"""WITH RECURSIVE {_LINES}, v AS (SELECT g, r, c, false AS foot FROM l UNION ALL SELECT g, r, CAST(c AS BIGINT), true FROM s),

@@ -195,11 +195,6 @@ def test_loan_summaries_equal_schedules(spark):
     assert both[0] == both[1] and both[0][1] == (2, 99_996, 0)
 
 
-def test_statement_periods_and_facts(spark):
-    rows = spark.createDataFrame([(1, 0, "", {1: "Notes", 2: "FY2020"}), (1, 1, "", {1: "Mar 2021", 2: "FY2019"}), (1, 9, "", {3: "2018"})], "grid_id long, row int, label string, cells map<int, string>")
-    assert sorted(tuple(r) for r in statements.first_periods(rows).collect()) == [(1, 1, "2021-03", "month"), (1, 2, "FY2020", "year")]
-
-
 def test_entity_of_the_identitys_kind(spark):
     named = spark.createDataFrame([(1, 1, "person", "John Smith"), (2, 1, "business", "Smith Bakery LLC"), (3, 1, "business", "zq"), (4, 2, "person", "Acme")], "document_id long, deal_id long, kind string, identity string")
     entities = spark.createDataFrame([(1, 10, "target", "John Smith"), (1, 11, "spouse", "Jon Smith"), (1, 12, "oc", "Smith Bakery Inc"), (2, 13, "target", "Acme")], "deal_id long, entity_id long, kind string, name string")
