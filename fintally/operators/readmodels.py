@@ -54,16 +54,6 @@ def overlapping_spans(spans: DataFrame) -> DataFrame:
     return spans.join(o, (F.col("document_id") == F.col("od")) & (F.col("id") != F.col("oid")) & (F.col("os") <= F.col("page_end")) & (F.col("page_start") <= F.col("oe")), "left_semi")
 
 
-def chain_breaks(log: DataFrame) -> DataFrame:
-    """The first row of each tenant whose stored previous hash or row hash is wrong: tenant_id, broken_at, reason."""
-    before = F.lag("row_hash").over(Window.partitionBy("tenant_id").orderBy("id"))
-    checked = log.withColumn("expected_prev", F.coalesce(before, F.lit("")))
-    own = F.sha2(F.concat_ws("|", "prev_hash", "tenant_id", "id", "payload"), 256)
-    reason = F.when(F.col("prev_hash") != F.col("expected_prev"), "prev_hash").when(F.col("row_hash") != own, "row_hash")
-    broken = checked.withColumn("reason", reason).where("reason is not null")
-    return broken.groupBy("tenant_id").agg(F.min(F.struct("id", "reason")).alias("b")).select("tenant_id", F.col("b.id").alias("broken_at"), "b.reason")
-
-
 def accuracy(cases: DataFrame) -> DataFrame:
     """Precision and recall in ten-thousandths, overall, by form and by quality; null on a zero denominator."""
     n = lambda condition: F.count_if(F.expr(condition))

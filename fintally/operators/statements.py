@@ -19,7 +19,9 @@ from fintally.operators.text import normalize_amount
 TOLERANCE = 100
 # Words that claim a total; the bottom line of an income statement.
 TOTAL = re.compile(r"^(total|net (income|profit|loss)|gross profit)\b", re.IGNORECASE)
-GRAND = re.compile(r"^(grand total|net (income|profit|loss)|total (assets|liabilities (and|&) (equity|capital|net worth|stockholders.? equity|shareholders.? equity)))", re.IGNORECASE)
+GRAND = re.compile(
+    r"^(net (income|profit|loss)|total (assets|liabilities and (?:stockholders'?|owner'?s?|members'?)? ?equity|equity and liabilities))\b", re.IGNORECASE
+)
 BOTTOM = re.compile(r"^net (income|profit|loss)( ?/? ?\((loss|deficit)\))?\s*$", re.IGNORECASE)
 
 

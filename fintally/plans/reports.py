@@ -64,13 +64,6 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS = "spans AS (SELECT o_orderkey AS id, o_custkey AS document_id, o_orderstatus AS family, o_orderkey % 23 + 1 AS page_start, o_orderkey % 23 + 1 + o_orderkey % 5 AS page_end FROM orders)"
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks of a log of conversations whose stored hashes hold for the first two turns only."""
-    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.concat_ws("|", "role", "text")).alias("payload"))
-    c = c.select(F.col("conv_id").alias("tenant_id"), F.col("turn").alias("id"), "payload")
-    return readmodels.chain_breaks(c.withColumn("prev_hash", F.lit("")).withColumn("row_hash", F.sha2(F.concat_ws("|", "prev_hash", "tenant_id", "id", "payload"), 256)))
-
-
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return readmodels.accuracy(d.select(F.col("lang").alias("form"), F.when(F.col("n_chars") < 1000, "short").otherwise("long").alias("quality"), F.when(F.col("n_chars") % 7 > 0, 1).otherwise(0).alias("predicted"), F.col("quality").alias("truth")))
@@ -163,7 +156,6 @@ QUERIES = {
     "w01_best_mappings": mappings,
     "p08_redundant_spans": lambda s, d: readmodels.redundant_spans(spans(s, d)),
     "j11_overlapping_spans": lambda s, d: readmodels.overlapping_spans(spans(s, d)),
-    "w04_chain_breaks": chain,
     "a17_accuracy": eval_cases,
     "t01_amounts": amounts,
     "t15_labels": labels_of,
@@ -187,7 +179,6 @@ ORACLES = {
     "w01_best_mappings": f"WITH {_MAPPINGS} SELECT tenant_id, label, id, source, usage_count FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, label ORDER BY source = 'human' DESC, usage_count DESC, updated_at DESC, id DESC) AS p FROM m) WHERE p = 1",
     "p08_redundant_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans w WHERE w.document_id = s.document_id AND w.family = s.family AND w.page_start <= s.page_start AND w.page_end >= s.page_end AND (w.page_end - w.page_start > s.page_end - s.page_start OR w.id < s.id))",
     "j11_overlapping_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE EXISTS (SELECT 1 FROM spans o WHERE o.document_id = s.document_id AND o.id <> s.id AND o.page_start <= s.page_end AND s.page_start <= o.page_end)",
-    "w04_chain_breaks": "WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) SELECT conv_id AS tenant_id, turn AS broken_at, 'prev_hash' AS reason FROM c WHERE p = 2",
     "a17_accuracy": "WITH c AS (SELECT lang AS form, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS quality, CASE WHEN n_chars % 7 > 0 THEN 1 ELSE 0 END AS predicted, l.quality AS truth FROM documents JOIN labels l USING (doc_id)), g AS (SELECT form, quality, grouping(form, quality) AS g, count(*) AS n, count(*) FILTER (predicted = 1) AS p, count(*) FILTER (predicted = 1 AND truth = 1) AS r, count(*) FILTER (truth = 1) AS a FROM c GROUP BY GROUPING SETS ((), (form), (quality))) SELECT CASE g WHEN 3 THEN 'all' WHEN 1 THEN 'form' ELSE 'quality' END AS level, coalesce(form, quality, '') AS name, n, CASE WHEN p > 0 THEN r * 10000 // p END AS precision_points, CASE WHEN a > 0 THEN r * 10000 // a END AS recall_points FROM g",
     "t01_amounts": "SELECT o_orderkey, CASE {k} " .format(k=f"o_orderkey % {len(FORMS)}") + " ".join(f"WHEN {i} THEN {x} * {_CENTS}" for i, (_, x) in enumerate(FORMS) if x in (1, -1)) + " END AS cents, " + ", ".join(f"CASE o_orderkey % {len(FORMS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x) in enumerate(FORMS) if isinstance(x, str) and (x in ("dash", "na", "empty")) == reason) + f" END AS {name}" for name, reason in (("null_reason", True), ("rejection", False))) + " FROM orders",
     "t15_labels": "SELECT p_partkey, 'total ' || trim(regexp_replace(lower(p_name || ' (net)'), '[^a-z0-9]+', ' ', 'g')) AS label FROM part",
