@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review", "periods", "audit", "recompute")
+PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review", "periods", "audit", "recompute", "registry")
 
 
 def _all(name: str) -> dict:
