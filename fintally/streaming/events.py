@@ -1,15 +1,10 @@
-"""Streaming analogues over an event stream: intake without repeats, daily windows, rate limits, runs without follow-up."""
+"""Streaming analogues over an event stream: intake without repeats, daily windows, runs without follow-up."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT, WINDOW_S = 60, 60
-
 
 def once(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     """Events without repeats of a key within the watermark."""
@@ -23,31 +18,9 @@ def daily(events: DataFrame, late: str = "1 day") -> DataFrame:
     return out.select(F.to_date("w.start").cast("string").alias("day"), "n", "errors", "cents")
 
 
-LIMITED = "user_id long, event_id long, allowed boolean"
-STATE = "opened double, used int"
-
-
-def rate_limited(events: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_S) -> DataFrame:
-    """Whether each event of a user is within the limit. A window opens at a user's first event, not at a clock mark."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, used = state.get if state.exists else (None, 0)
-        for batch in batches:
-            rows = []
-            for at, event in sorted(zip(batch["ts"].astype("int64") / 1e9, batch["event_id"], strict=True)):
-                if opened is None or at - opened >= seconds:
-                    opened, used = at, 0
-                used += 1
-                rows.append((key[0], event, used <= limit))
-            yield pd.DataFrame(rows, columns=["user_id", "event_id", "allowed"])
-        state.update((float(opened), int(used)))
-
-    return events.groupBy("user_id").applyInPandasWithState(step, LIMITED, STATE, "append", "NoTimeout")
-
-
-def without_follow_up(started: DataFrame, finished: DataFrame, grace: str = "3 minutes") -> DataFrame:
+def without_follow_up(started: DataFrame, finished: DataFrame, grace: str = "3 minutes", late: str = "1 minute") -> DataFrame:
     """Runs that no finish follows within the grace time: a left outer join of two streams by watermark."""
-    a = started.select(F.col("run_id"), F.col("ts").alias("began")).withWatermark("began", "1 minute")
-    b = finished.select(F.col("run_id").alias("done_id"), F.col("ts").alias("ended")).withWatermark("ended", "1 minute")
+    a = started.select(F.col("run_id"), F.col("ts").alias("began")).withWatermark("began", late)
+    b = finished.select(F.col("run_id").alias("done_id"), F.col("ts").alias("ended")).withWatermark("ended", late)
     on = F.expr(f"run_id = done_id and ended >= began and ended <= began + interval {grace}")
     return a.join(b, on, "left_outer").where("done_id is null").select("run_id", "began")

@@ -1,11 +1,12 @@
 """Streaming analogues against batch twins, and sources and sinks on small files."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from fintally.sources import files
-from fintally.streaming import events
+from fintally.streaming import events, limits, runs
 
 T0 = datetime(2024, 1, 1)
 
@@ -29,11 +30,40 @@ def test_intake_and_days(spark, tmp_path):
     assert _run(spark, events.daily(src), tmp_path, "days", "complete") == [("2024-01-01", 10, 4, 100)]
 
 
-def test_rate_limit_opens_at_the_first_event(spark, tmp_path):
-    rows = [(1, k, T0 + timedelta(seconds=s)) for k, s in enumerate([30, 50, 80, 95, 100])]
-    src = _stream(spark, tmp_path, rows, "user_id long, event_id long, ts timestamp", "calls")
-    got = {e: ok for _, e, ok in _run(spark, events.rate_limited(src, limit=2, seconds=60), tmp_path, "limited")}
-    assert got == {0: True, 1: True, 2: False, 3: True, 4: True}
+def limited_by_hand(rows, limit, us, passed):
+    """Users' events in order of time and id, as one batch."""
+    out, open_since = [], {}
+    for user, event, at, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        if at >= passed:
+            continue
+        opened, used = open_since.get(user, (None, 0))
+        if opened is None or at - opened >= us:
+            opened, used = at, 0
+        open_since[user] = (opened, used + 1)
+        out.append((user, event, used + 1 <= limit))
+    return sorted(out)
+
+
+def test_rate_limit_of_late_events(spark):
+    rng = random.Random(3)
+    rows = [(1, k, s * 1_000_000, 0) for k, s in enumerate([30, 50, 80, 95, 100])]
+    rows += [(2 + rng.randrange(4), 10 + k, rng.randrange(4000) * 250_000, 0) for k in range(300)]
+    # a batch comes up to 200 seconds after its time, in any order
+    rows = [(u, e, at, min(3, (at // 1_000_000 + rng.randrange(200)) // 300)) for u, e, at, _ in rows] + [(9, 999, 5_000_000_000, 3), (None, 1, 0, 0), (3, 2, None, 0)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, us long, batch int").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    got = runs.drained(limits.rate_limited(runs.arrivals(df, 4, "batch"), limit=2, seconds=60, late="10 minutes"))
+    given = [r for r in rows if r[0] is not None and r[2] is not None]
+    assert sorted(tuple(r) for r in got.collect()) == limited_by_hand(given, 2, 60_000_000, 4_400_000_000)
+
+
+def test_runs_without_follow_up_and_intake(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    started = spark.createDataFrame([(1, at(0), 0), (2, at(10), 0), (3, at(20), 1), (4, at(5000), 1)], "run_id long, ts timestamp, batch int")
+    finished = spark.createDataFrame([(1, at(100), 1), (2, at(500), 0), (3, at(19), 0), (9, at(5000), 1)], "run_id long, ts timestamp, batch int")
+    lost = runs.drained(events.without_follow_up(runs.arrivals(started, 2, "batch"), runs.arrivals(finished, 2, "batch"), "3 minutes", "10 minutes"))
+    assert sorted(r["run_id"] for r in lost.collect()) == [2, 3]
+    sent = spark.createDataFrame([(1, at(0), 0), (1, at(0), 1), (2, at(5), 1), (2, at(5), 1)], "event_id long, ts timestamp, batch int")
+    assert sorted(r["event_id"] for r in runs.drained(events.once(runs.arrivals(sent, 2, "batch"))).collect()) == [1, 2]
 
 
 def test_html_tables_and_json(spark):
