@@ -2,8 +2,9 @@
 
 Texts are cut into pieces and words; a shard is a run of texts of one language of up to SHARD bytes. In a shard words
 become ids, prefix doubling sorts the suffixes by their first four words, and runs of the suffix array whose longest
-common prefix is n or more are the n-grams with their counts. Shard counts are merged by key. Three passes, each of
-which can only shrink the next one: words; hashed pairs of words that may be frequent; phrases of pairs that may be.
+common prefix is n or more are the n-grams with their counts. Shard counts are merged by key. Four passes, each of
+which can only shrink the next one: words; hashed pairs of words that may be frequent; phrases of two and three words of
+pairs that may be; phrases of four words that begin and end with three that may be.
 What may be frequent is asked of a bit array of BITS bits, set for all that is: its false positives are counted and
 then dropped by their exact counts, so that its fixed size bounds the broadcast and never changes a result.
 
@@ -32,6 +33,8 @@ SHARD = 8 << 20
 #: Bits of the arrays of what may be frequent (16 MB); a power of two.
 BITS = 1 << 27
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
+#: Sizes of phrases that are counted together, before the longest ones.
+SIZES = (2, 3)
 #: A phrase goes if a longer one around it has this share of its count, in percent.
 COVERED = 80
 #: Ranks are first taken within so many parts of a language, so that no task ranks all its phrases.
@@ -194,27 +197,56 @@ def pair_counts(docs: DataFrame, frequent: np.ndarray, limit: int = SHARD) -> Da
     return _mapped(docs, run, "h long, f long", limit).groupBy("h").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, limit: int = SHARD) -> DataFrame:
-    """lang, phrase, f of phrases of 2 to LONGEST words whose words and neighbours may all be frequent."""
-    given = docs.sparkSession.sparkContext.broadcast((frequent, pairs))
+def phrase_counts(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, sizes: tuple[int, ...], inner: np.ndarray | None = None, limit: int = SHARD) -> DataFrame:
+    """lang, phrase, f of phrases of so many words whose words and neighbours may all be frequent.
+
+    inner: also their first and their last words but one must be, by the bits of phrases one word shorter.
+    """
+    given = docs.sparkSession.sparkContext.broadcast((frequent, pairs, inner))
 
     def run(lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
+        frequent, pairs, inner = given.value
         ids, words, piece = words_of(text)
         hashes = _hashes(lang, words)
-        may = _has(given.value[0], hashes)[ids]
+        may = _has(frequent, hashes)[ids]
         links = may[:-1] & may[1:] & (piece[:-1] == piece[1:])
         at = np.flatnonzero(links)
-        links[at] = _has(given.value[1], _pairs(hashes[ids[at]], hashes[ids[at + 1]]))
+        links[at] = _has(pairs, _pairs(hashes[ids[at]], hashes[ids[at + 1]]))
         chain, reach = _chains(ids, links)
         order, common = suffix_array(chain, reach, LONGEST)
-        for n in range(2, LONGEST + 1):
+        for n in sizes:
             at, counts = intervals(order, common, reach, n)
+            if inner is not None:
+                parts = [_phrase_hashes([hashes[chain[at + k]] for k in range(first, first + n - 1)]) for first in (0, 1)]
+                keep = _has(inner, parts[0]) & _has(inner, parts[1])
+                at, counts = at[keep], counts[keep]
             phrase = pc.binary_join_element_wise(*(words.take(pa.array(chain[at + k])) for k in range(n)), " ")
             yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), phrase, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "f"])
 
     return _mapped(docs, run, "lang string, phrase string, f long", limit).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _phrase_hashes(parts: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases, of the hashes of their words in order."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = _pairs(out, part)
+    return out
+
+
+def hashed_phrases(phrases: DataFrame) -> DataFrame:
+    """h: the hashes of phrases (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = [xxhash.xxh64_intdigest(lang, 42) for lang in batch.column("lang").to_pylist()]
+            words = [p.split(" ") for p in batch.column("phrase").to_pylist()]
+            hashes = [_phrase_hashes([np.array([xxhash.xxh64_intdigest(w, seed)], np.uint64) for w in ws])[0] for ws, seed in zip(words, seeds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
+
+
 def _joined(words: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, start, n), " ")
 
@@ -247,7 +279,11 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, bi
     totals, words = words.where("word is null").select("lang", F.col("f").alias("n")), words.where("word is not null")
     frequent = _bit_array(words.select(F.xxhash64("lang", "word").alias("h")), bits)
     pairs = _bit_array(pair_counts(docs, frequent, shard).where(F.col("f") >= min_count), bits)
-    phrases = written(phrase_counts(docs, frequent, pairs, shard).where(F.col("f") >= min_count)).withColumn("size", F.size(F.split("phrase", " ")))
+    size = F.size(F.split("phrase", " ")).alias("size")
+    shorter = written(phrase_counts(docs, frequent, pairs, SIZES, limit=shard).where(F.col("f") >= min_count).select("*", size))
+    inner = _bit_array(hashed_phrases(shorter.where(F.col("size") == LONGEST - 1)), bits)
+    longest = written(phrase_counts(docs, frequent, pairs, (LONGEST,), inner, shard).where(F.col("f") >= min_count).select("*", size))
+    phrases = shorter.unionByName(longest)
     counts = words.select("lang", F.col("word").alias("phrase"), "f").unionByName(phrases.select("lang", "phrase", "f"))
     kept = _cuts(phrases, counts).join(_inner(phrases), ["lang", "phrase"], "left").where("around is null or cast(100 as decimal(38,0)) * around < cast(%d as decimal(38,0)) * a" % COVERED)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
