@@ -40,18 +40,22 @@ def best_mappings(mappings: DataFrame) -> DataFrame:
 
 
 def redundant_spans(spans: DataFrame) -> DataFrame:
-    """Spans without those that lie in a wider span of the same document and family, or equal one with a lesser id."""
-    w = spans.select(F.col("id").alias("wid"), F.col("document_id").alias("wd"), F.col("family").alias("wf"), F.col("page_start").alias("ws"), F.col("page_end").alias("we"))
-    same = (F.col("document_id") == F.col("wd")) & (F.col("family") == F.col("wf"))
-    inside = (F.col("ws") <= F.col("page_start")) & (F.col("we") >= F.col("page_end"))
-    wider = (F.col("we") - F.col("ws") > F.col("page_end") - F.col("page_start")) | (F.col("wid") < F.col("id"))
-    return spans.join(w, same & inside & wider, "left_anti")
+    """Spans without those that lie in a wider span of the same document, family and tax year, or equal one with a lesser id.
+
+    One sweep: from left to right, wider ones first, a span goes if one before it reaches as far. Nulls of a key are alike.
+    """
+    order = Window.partitionBy("document_id", "family", "tax_year").orderBy("page_start", F.desc("page_end"), "id")
+    reached = F.max("page_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("_reached", reached).where(~F.coalesce(F.col("_reached") >= F.col("page_end"), F.lit(False))).drop("_reached")
 
 
 def overlapping_spans(spans: DataFrame) -> DataFrame:
-    """Spans that share a page with another span of the document."""
-    o = spans.select(F.col("id").alias("oid"), F.col("document_id").alias("od"), F.col("page_start").alias("os"), F.col("page_end").alias("oe"))
-    return spans.join(o, (F.col("document_id") == F.col("od")) & (F.col("id") != F.col("oid")) & (F.col("os") <= F.col("page_end")) & (F.col("page_start") <= F.col("oe")), "left_semi")
+    """Spans that share a page with another span of the document: one before them reaches them, or they reach the next one."""
+    order = Window.partitionBy("document_id").orderBy("page_start", "page_end", "id")
+    before = F.max("page_end").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("page_start")
+    behind = F.lead("page_start").over(order) <= F.col("page_end")
+    met = F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
+    return spans.withColumn("_met", met).where("_met").drop("_met")
 
 
 def accuracy(cases: DataFrame) -> DataFrame:

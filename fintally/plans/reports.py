@@ -58,10 +58,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page spans of orders: two families, one document for each customer."""
     o = table(spark, sf_dir, "orders")
     start = F.col("o_orderkey") % 23 + 1
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("family"), start.alias("page_start"), (start + F.col("o_orderkey") % 5).alias("page_end"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("family"), (F.col("o_orderkey") % 2 + 2020).alias("tax_year"), start.alias("page_start"), (start + F.col("o_orderkey") % 5).alias("page_end"))
 
 
-_SPANS = "spans AS (SELECT o_orderkey AS id, o_custkey AS document_id, o_orderstatus AS family, o_orderkey % 23 + 1 AS page_start, o_orderkey % 23 + 1 + o_orderkey % 5 AS page_end FROM orders)"
+_SPANS = "spans AS (SELECT o_orderkey AS id, o_custkey AS document_id, o_orderstatus AS family, o_orderkey % 2 + 2020 AS tax_year, o_orderkey % 23 + 1 AS page_start, o_orderkey % 23 + 1 + o_orderkey % 5 AS page_end FROM orders)"
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ ORACLES = {
     "o01_review_queue": f"{_H},\n{underwriting._ISSUES}, w AS (SELECT unnest(string_split(fact_ids, ',')) AS id, CASE severity WHEN 'critical' THEN 3 WHEN 'error' THEN 2 ELSE 1 END AS r FROM issues), x AS (SELECT id, max(r) AS r FROM w GROUP BY id) SELECT f.id, f.document_id, f.created_at, CAST(coalesce(x.r, 0) AS INTEGER) AS severity_rank FROM ranked f LEFT JOIN x USING (id) WHERE status = 'suggested' ORDER BY severity_rank DESC, document_id, created_at, id",
     "o02_audit_page": "SELECT event_id, user_id, event_type FROM events WHERE event_id < 500 ORDER BY event_id DESC LIMIT 51",
     "w01_best_mappings": f"WITH {_MAPPINGS} SELECT tenant_id, label, id, source, usage_count FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, label ORDER BY source = 'human' DESC, usage_count DESC, updated_at DESC, id DESC) AS p FROM m) WHERE p = 1",
-    "p08_redundant_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans w WHERE w.document_id = s.document_id AND w.family = s.family AND w.page_start <= s.page_start AND w.page_end >= s.page_end AND (w.page_end - w.page_start > s.page_end - s.page_start OR w.id < s.id))",
+    "p08_redundant_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans w WHERE w.document_id = s.document_id AND w.family = s.family AND w.tax_year = s.tax_year AND w.page_start <= s.page_start AND w.page_end >= s.page_end AND (w.page_end - w.page_start > s.page_end - s.page_start OR w.id < s.id))",
     "j11_overlapping_spans": f"WITH {_SPANS} SELECT * FROM spans s WHERE EXISTS (SELECT 1 FROM spans o WHERE o.document_id = s.document_id AND o.id <> s.id AND o.page_start <= s.page_end AND s.page_start <= o.page_end)",
     "a17_accuracy": "WITH c AS (SELECT lang AS form, CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END AS quality, CASE WHEN n_chars % 7 > 0 THEN 1 ELSE 0 END AS predicted, l.quality AS truth FROM documents JOIN labels l USING (doc_id)), g AS (SELECT form, quality, grouping(form, quality) AS g, count(*) AS n, count(*) FILTER (predicted = 1) AS p, count(*) FILTER (predicted = 1 AND truth = 1) AS r, count(*) FILTER (truth = 1) AS a FROM c GROUP BY GROUPING SETS ((), (form), (quality))) SELECT CASE g WHEN 3 THEN 'all' WHEN 1 THEN 'form' ELSE 'quality' END AS level, coalesce(form, quality, '') AS name, n, CASE WHEN p > 0 THEN r * 10000 // p END AS precision_points, CASE WHEN a > 0 THEN r * 10000 // a END AS recall_points FROM g",
     "t01_amounts": "SELECT o_orderkey, CASE {k} " .format(k=f"o_orderkey % {len(FORMS)}") + " ".join(f"WHEN {i} THEN {x} * {_CENTS}" for i, (_, x) in enumerate(FORMS) if x in (1, -1)) + " END AS cents, " + ", ".join(f"CASE o_orderkey % {len(FORMS)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x) in enumerate(FORMS) if isinstance(x, str) and (x in ("dash", "na", "empty")) == reason) + f" END AS {name}" for name, reason in (("null_reason", True), ("rejection", False))) + " FROM orders",

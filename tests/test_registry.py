@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fintally.operators import registry, span_edits
+from fintally.operators import readmodels, registry, span_edits
 
 SPANS = "document_id long, id long, page_start int, page_end int, confirmed boolean"
 EDITS = "document_id long, edit_id long, kind string, span_id long, other_id long, page_start int, page_end int"
@@ -125,3 +125,13 @@ def test_tolerant_rows_add_up(spark):
 def test_requested_items(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(registry.requested_items(F.col("t")).alias("i")).first()["i"]
     assert [tuple(r) for r in got] == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from("ab"), st.integers(2020, 2021), st.integers(1, 12), st.integers(0, 6)), max_size=60))
+def test_sweeps_equal_pairs(spark, drawn):
+    rows = [(i, d, f, y, a, a + n) for i, (d, f, y, a, n) in enumerate(drawn)]
+    df = spark.createDataFrame(rows, "id long, document_id long, family string, tax_year int, page_start int, page_end int")
+    inside = lambda s, w: w[1:4] == s[1:4] and w[4] <= s[4] and w[5] >= s[5] and (w[4:] != s[4:] or w[0] < s[0])
+    assert {r["id"] for r in readmodels.redundant_spans(df).collect()} == {s[0] for s in rows if not any(inside(s, w) for w in rows)}
+    assert {r["id"] for r in readmodels.overlapping_spans(df).collect()} == {s[0] for s in rows if any(o[0] != s[0] and o[1] == s[1] and o[4] <= s[5] and s[4] <= o[5] for o in rows)}
