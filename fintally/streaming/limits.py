@@ -30,13 +30,11 @@ class Limiter(StatefulProcessor):
         self.window = handle.getValueState("window", "opened long, used long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        marks = set()
-        for batch in rows:
-            events = [(int(us), int(e)) for us, e in zip(batch["us"], batch["event_id"], strict=True)]
+        events = [(int(us), int(e)) for batch in rows for us, e in zip(batch["us"], batch["event_id"], strict=True)]
+        if events:
             self.pending.appendList(events)
-            marks |= {us // 1000 + 1 for us, _ in events}
-        for mark in marks:
-            self.handle.registerTimer(mark)
+            # one timer for all: the first to be ready; it sets the next one
+            self.handle.registerTimer(min(events)[0] // 1000 + 1)
         yield pd.DataFrame({"user_id": [], "event_id": [], "allowed": []})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -53,8 +51,10 @@ class Limiter(StatefulProcessor):
         if ready:
             self.pending.put(later) if later else self.pending.clear()
             self.window.update((opened, used))
-            self.handle.registerTimer((opened + self.us) // 1000 + 1)
-        elif opened is not None and not later and (opened + self.us) // 1000 < passed:
+            self.handle.registerTimer(later[0][0] // 1000 + 1 if later else (opened + self.us) // 1000 + 1)
+        elif later:
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        elif opened is not None and (opened + self.us) // 1000 < passed:
             # no event can fall into this window any more, and the next one opens another
             self.window.clear()
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
