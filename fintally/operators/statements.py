@@ -17,6 +17,8 @@ from fintally.operators.text import normalize_amount
 
 #: Sums equal within so many cents.
 TOLERANCE = 100
+#: Sides of a balance sheet are equal within so many cents.
+BALANCE_TOLERANCE = 200
 # Words that claim a total; the bottom line of an income statement.
 TOTAL = re.compile(r"^(total|net (income|profit|loss)|gross profit)\b", re.IGNORECASE)
 GRAND = re.compile(
@@ -117,3 +119,22 @@ def row_facts(values: DataFrame) -> DataFrame:
     out = cells.withColumn("source", source)
     value = F.when(F.col("source") == "items", F.col("items")).when(F.col("source") == "total", F.col("high"))
     return out.select("grid_id", "node", "period_label", value.alias("value_cents"), "source")
+
+
+def structure_issues(values: DataFrame) -> DataFrame:
+    """(grid_id, period_label, gate, subject, delta_cents) of values as row_facts takes them.
+
+    G1: stated totals of one node that contradict each other (their range), and net income that is not revenue less
+    expenses; G2: assets that are not the stated right side, or else liabilities and equity. The last two compare the
+    values that survive double counting, where all that they need is there.
+    """
+    stated = values.where("type <> 'item'").groupBy("grid_id", "node", "period_label").agg((F.max("value_cents") - F.min("value_cents")).alias("delta"))
+    conflicts = stated.where(F.col("delta") > TOLERANCE).select("grid_id", "period_label", F.lit("G1").alias("gate"), F.col("node").alias("subject"), F.col("delta").alias("delta_cents"))
+    of = lambda node: F.max(F.when(F.col("node") == node, F.col("value_cents")))
+    sides = {"net": "is.net_income", "revenue": "is.revenue.total", "expenses": "is.opex.total", "assets": "bs.assets.total", "right": "bs.total_liabilities_equity", "liabilities": "bs.liabilities.total", "equity": "bs.equity.total"}
+    wide = row_facts(values).where(F.col("node").isin(*sides.values())).groupBy("grid_id", "period_label").agg(*(of(node).alias(name) for name, node in sides.items()))
+    income = F.abs(F.col("revenue") - F.col("expenses") - F.col("net"))
+    balance = F.abs(F.col("assets") - F.coalesce("right", F.col("liabilities") + F.col("equity")))
+    issue = lambda delta, least, gate, subject: F.when(delta > least, F.struct(F.lit(gate).alias("gate"), F.lit(subject).alias("subject"), delta.alias("delta_cents")))
+    found = F.array_compact(F.array(issue(income, TOLERANCE, "G1", "is.net_income"), issue(balance, BALANCE_TOLERANCE, "G2", "bs")))
+    return conflicts.unionByName(wide.select("grid_id", "period_label", F.inline(found)))

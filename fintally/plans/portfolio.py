@@ -297,16 +297,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("grid_id"), F.inline(F.concat(head, body, foot)))
 
 
-def row_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def row_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
     kind = F.when(F.col("value_cents") % 3 == 0, "subtotal").otherwise("item")
-    return statements.row_facts(f.select(F.col("document_id").alias("grid_id"), "node", "period_label", kind.alias("type"), "value_cents"))
+    return f.select(F.col("document_id").alias("grid_id"), "node", "period_label", kind.alias("type"), "value_cents")
 
 
 QUERIES |= {
     "t11_grid_rows": lambda s, d: statements.grid_rows(cells(s, d)).select("grid_id", "row", "label", F.size("cells").alias("n_cells"), F.element_at("cells", 1).alias("first")),
     "t12_row_types": lambda s, d: statements.typed_rows(statements.grid_rows(cells(s, d))).select("grid_id", "row", "type", "verified"),
-    "t14_row_facts": row_facts,
+    "t14_row_facts": lambda s, d: statements.row_facts(row_values(s, d)),
+    "t14_structure_issues": lambda s, d: statements.structure_issues(row_values(s, d)),
 }
 _TEXT = "(CAST({c} AS BIGINT) // 100) || '.' || lpad(CAST(CAST({c} AS BIGINT) % 100 AS VARCHAR), 2, '0')"
 _LINES = """l AS (SELECT l_orderkey AS g, l_partkey AS p, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem),
@@ -321,3 +322,9 @@ w(g, r, type, verified, items, n, subs, m) AS (SELECT DISTINCT g, CAST(0 AS BIGI
 SELECT g AS grid_id, CAST(r AS INTEGER) AS row, type, verified FROM w""",
     "t14_row_facts": f"{_F}, c AS (SELECT document_id AS grid_id, node, period_label, CAST(sum(value_cents) FILTER (value_cents % 3 <> 0) AS BIGINT) AS items, min(value_cents) FILTER (value_cents % 3 = 0) AS low, max(value_cents) FILTER (value_cents % 3 = 0) AS high FROM facts GROUP BY ALL), k AS (SELECT *, CASE WHEN high - low > 100 THEN 'conflict' WHEN high IS NULL OR items > high + 100 THEN 'items' ELSE 'total' END AS source FROM c) SELECT grid_id, node, period_label, CASE source WHEN 'items' THEN items WHEN 'total' THEN high END AS value_cents, source FROM k",
 }
+ORACLES["t14_structure_issues"] = f"""{_F}, k AS ({ORACLES["t14_row_facts"]}),
+t AS (SELECT document_id AS grid_id, period_label, node, max(value_cents) - min(value_cents) AS delta FROM facts WHERE value_cents % 3 = 0 GROUP BY ALL),
+w AS (PIVOT (SELECT grid_id, period_label, node, value_cents FROM k) ON node IN ('is.net_income', 'is.revenue.total', 'is.opex.total', 'bs.assets.total', 'bs.total_liabilities_equity', 'bs.liabilities.total', 'bs.equity.total') USING max(value_cents))
+SELECT grid_id, period_label, 'G1' AS gate, node AS subject, delta AS delta_cents FROM t WHERE delta > 100
+UNION ALL SELECT grid_id, period_label, 'G1', 'is.net_income', abs("is.revenue.total" - "is.opex.total" - "is.net_income") AS d FROM w WHERE d > 100
+UNION ALL SELECT grid_id, period_label, 'G2', 'bs', abs("bs.assets.total" - coalesce("bs.total_liabilities_equity", "bs.liabilities.total" + "bs.equity.total")) AS d FROM w WHERE d > 200"""

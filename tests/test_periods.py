@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from fintally.operators import periods
+from fintally.operators import periods, statements
 
 HEADERS = {
     "FY2024": ("fiscal_year", "FY2024", "2024-01-01", "2024-12-31"),
@@ -116,3 +116,18 @@ def test_titles_and_scales(spark):
     late = bound(spark, [None, "FY2020"], body=("x", "y", "Q1 2020", "z", "FY2019"))
     assert late[1]["label"] == "Q1 2020" and late[2]["label"] == "FY2020" and late[1]["header_rows"] == [0, 3] and late[1]["start_date"] == datetime.date(2020, 1, 1)
     assert bound(spark, [None], body=("a", "b", "c", "d", "e", "FY2019"))[1]["label"] is None
+
+
+def test_structure_issues(spark):
+    rows = [(1, n, "FY1", t, c) for n, t, c in [("is.net_income", "total", 500), ("is.revenue.total", "total", 1000), ("is.opex.total", "item", 200), ("is.opex.total", "item", 199), ("bs.assets.total", "total", 900), ("bs.liabilities.total", "total", 500), ("bs.equity.total", "total", 199)]]
+    rows += [(2, n, "FY1", "total", c) for n, c in [("is.net_income", 500), ("is.revenue.total", 1000), ("is.opex.total", 400), ("bs.assets.total", 900), ("bs.liabilities.total", 500), ("bs.equity.total", 200), ("bs.total_liabilities_equity", 1101)]]
+    rows += [(3, "x", "FY1", "subtotal", 5), (3, "x", "FY1", "total", 205), (3, "y", "FY1", "item", 5), (3, "y", "FY1", "item", 505), (4, "is.net_income", "FY1", "total", 5), (4, "bs.assets.total", "FY1", "total", 5)]
+    got = statements.structure_issues(spark.createDataFrame(rows, "grid_id long, node string, period_label string, type string, value_cents long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "FY1", "G1", "is.net_income", 101), (1, "FY1", "G2", "bs", 201), (2, "FY1", "G2", "bs", 201), (3, "FY1", "G1", "x", 200)]
+
+
+def test_words_of_grand_totals():
+    for label in ("Net Income", "TOTAL ASSETS", "Total Liabilities and Equity", "total liabilities and stockholders' equity", "Total liabilities and members' equity", "Total equity and liabilities"):
+        assert statements.GRAND.match(label), label
+    for label in ("Grand total", "Total liabilities", "Total equity", "Total revenue", "Total liabilities and capital", "Total assetsx"):
+        assert not statements.GRAND.match(label), label
