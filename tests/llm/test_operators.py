@@ -344,6 +344,79 @@ def test_secrets_behind_ordinary_text(spark):
     assert clean[4] == texts[4] and all(clean[i].count("account") >= n for i, n in ((0, 1), (1, 5)))
 
 
+def _markov(text, model):
+    """Markov spans by plain loops, without base spans: best stretches of pieces, summed over neighbours that look random."""
+    n, code = len(secret_scans.ALPHABET) + 1, {c: k for k, c in enumerate(secret_scans.ALPHABET)}
+
+    def best(values):
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        return max(sums[j] - sums[i] for i in range(len(sums)) for j in range(i, len(sums)))
+
+    out = []
+    for run in re.finditer(secret_scans.CANDIDATE, text):
+        pieces = []
+        for m in re.finditer("[^/_-]+", run.group()):
+            pairs = [code[a] * n + code[b] for a, b in zip(m.group(), m.group()[1:], strict=False)]
+            ratios, unlike = [model[p] for p in pairs], [model[p] for p in dict.fromkeys(pairs)]
+            worth = min(best(ratios), best(unlike))
+            pieces.append([run.start() + m.start(), run.start() + m.end(), worth, "1" if sum(ratios) > 0 or worth > secret_scans.MARGIN else "s" if len(m.group()) < secret_scans.SHORT else "0"])
+        marks = [p[3] for p in pieces]
+        joined = ["1" if m == "s" and 0 < k < len(marks) - 1 and marks[k - 1] == marks[k + 1] == "1" else m for k, m in enumerate(marks)]
+        k = 0
+        while k < len(joined):
+            end = k
+            while end < len(joined) and joined[end] == "1":
+                end += 1
+            if end > k and sum(p[2] for p in pieces[k:end]) > secret_scans.MARGIN and pieces[end - 1][1] - pieces[k][0] >= secret_scans.LEAST:
+                out.append((pieces[k][0], pieces[end - 1][1]))
+            k = max(end, k + 1)
+    return out
+
+
+@pytest.fixture(scope="module")
+def markov(spark):
+    return secret_scans.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_markov_spans_equal_brute_force(spark, markov):
+    rng, letters = np.random.default_rng(8), "ghjkqwxzGHJKQWXZ0123456789tuoie"
+    words = ["account", "settings", "v1", "api", "Zk3hP0vQ9sLr2TtYwB7n", "q8Xw2LpZ7rVt5N", "history", "ACGT" * 6, "2024", "xY9kQz7w"]
+    texts = ["".join(rng.choice([*letters, "/", "-", "_", " "], 200)) for _ in range(60)]
+    texts += ["".join(w + s for w, s in zip(rng.choice(words, 12), rng.choice(["/", "_", "-", "", " "], 12), strict=True)) for _ in range(120)]
+    texts = [t for t in texts if not _base(t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in secret_scans.scan(df, markov).collect()}
+    assert got == {k: _markov(t, markov) for k, t in enumerate(texts)} and sum(map(len, got.values())) > 30
+
+
+def test_ordinary_text_is_no_secret(spark, markov):
+    plain = ["-" * 40, "_" * 30, "=-" * 20, "A" * 28, "+" * 30, "2024-01-01-2024-12-31-99", "ACGT" * 10, "ACGTTGCAAGCTTAGCCATGACCGT" * 3, "wiki/Special_Pages/Przybyszewski_Stanislaw_biography", "customerAccountBalanceHistoryTableForQuery"]
+    plain += ["https/www/example/com/articles/2024/05/some_long_title_here", "MAX_CONNECTION_POOL_SIZE_LIMIT_DEFAULT", "donaudampfschifffahrtsgesellschaft", secret_scans.ALPHABET[26:52], secret_scans.ALPHABET[:26]]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secret_scans.redacted(df, markov).collect()} == dict(enumerate(plain))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert secret_scans.scan(docs, markov).where("exists(spans, s -> s.kind = 'markov')").count() == 0
+
+
+def test_planted_keys_are_found(spark, markov):
+    rng, letters = np.random.default_rng(4), secret_scans.ALPHABET[:62]
+    keys = [("".join(rng.choice([*(letters + extra)], size))) for extra, size in (("", 20), ("", 32), ("+/", 40), ("-_", 40)) for _ in range(150)]
+    df = spark.createDataFrame([(k, f"set {key} here") for k, key in enumerate(keys)], "doc_id long, text string")
+    assert secret_scans.scan(df, markov).where("exists(spans, s -> s.kind = 'markov')").count() >= 0.97 * len(keys)
+
+
+def test_secret_scan_is_linear_in_a_run(spark, markov):
+    """One run of 1 MB: upper-case digests (with digits enough for some base spans), a path of ordinary words, and a path with 13,000 keys."""
+    path, key = "/account/settings/profile/history/download/", "Zk3hP0vQ9sLr2TtYwB7nXcD4eF6gH8jK"
+    noise = "".join(hashlib.sha256(str(k).encode()).hexdigest().upper() for k in range(15_625))
+    texts = {1: noise, 2: path * 23_000, 3: (path + key) * 13_000}
+    began = time.time()
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3, "doc_id")
+    clean = {r["doc_id"]: r["text"] for r in secret_scans.redacted(df, markov).collect()}
+    clean[1] = clean[1].replace("[SECRET]", "") or "[SECRET]"
+    assert clean == {1: "[SECRET]", 2: texts[2], 3: (path + "[SECRET]") * 13_000} and time.time() - began < 60
+
+
 # 10 transport streams
 
 
