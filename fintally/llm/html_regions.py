@@ -5,8 +5,13 @@ region with the greatest sum. The weights come from labelled pages: for each tag
 inside of the marked article, and likewise for the words of each kind of container. Tags within menus, adverts and
 the like are counted apart from the same tags in running text. Words of a marked container (by class, id or role)
 that stand mostly outside score nothing. In the article (or main, if there is no article) tags cost nothing, so that no
-list, table or link cuts it. Within the region the text of menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments is left out.
+list, table or link cuts it. Words of blocks that are links as a whole are counted apart, too: where these stand mostly
+outside, a region doesn't begin or end with them, so that menus around it go and lists of links within it stay. Within the region the text of menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is left out, and what is hidden.
+
+A class, id or role marks an element of any name if all parts of the name between hyphens are marks or words of layout:
+cookie-banner and site-header do, side-effects, search-results and article-header don't. Inside of article and main only
+the marks of INNER count there.
 
 Blocks follow page order, joined by one space; white space within a block is one space; character references are
 decoded; nothing else is dropped or capped.
@@ -33,6 +38,8 @@ from fintally.llm.common import slices, table
 #: Labelled pages that the weights are learned from at most: those with the least hash of the id.
 SAMPLE = 400
 WORD, LIGHTEST, HEAVIEST = 1.0, 0.02, 8.0
+#: A block is one of links if this share of its words stands in them.
+LINKED = 0.9
 
 # HTML element names by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,12 +49,17 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog template noscript but
 MAIN = frozenset(("article", "main"))
 #: Parts of lists and tables; like inline tags they are no sign of an end unless the labelled pages say so.
 FLOW = INLINE | frozenset("ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr td th p br".split())
-# Words of class, id and role that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|discussion|replies|disqus|"
-    r"cookies?|consent|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|widget|header|footer|masthead|toolbar|contentinfo|complementary)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words of class, id and role that mark what is not the article; of those, what marks inside of it too; words of layout.
+MARKS = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs
+    comment comments discussion reply replies disqus cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup
+    login search share sharing social related recommended widget header footer masthead toolbar contentinfo complementary""".split()
+)
+INNER = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs
+    comment comments disqus cookie cookies consent notice notices popup modal newsletter subscribe signup login share sharing contentinfo complementary""".split()
 )
+LAYOUT = frozenset("site page top bottom left right box wrapper wrap container block list bar links link area inner outer row col unit slot form buttons main primary secondary reader user posts".split())
 #: A tag's attributes are disjoint alternatives, taken whole; no part of a tag passes another tag's start, so that a scan is linear.
 _INSIDE = r"(?:[^<>\"']|<(?![A-Za-z/!?]))"
 _QUOTED = r"\"(?:[^<\"]|<(?![A-Za-z/!?]))*+\"|'(?:[^<']|<(?![A-Za-z/!?]))*+'"
@@ -60,16 +72,35 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 NAME = re.compile(r"</?\s*([A-Za-z][A-Za-z0-9:-]*)")
-ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+
+
+def marked(names: str, inside: bool) -> bool:
+    """Whether a class, id or role among names marks what is no part of the article."""
+    own = INNER if inside else MARKS
+    for name in names.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        if any(x in own for x in parts) and all(x in own or x in LAYOUT for x in parts):
+            return True
+    return False
 
 
 class Token:
-    """A piece of text (words > 0 or white space) or a tag, with the kind of its container; home is 2 in an article, 1 in main."""
+    """A piece of text (words > 0 or white space) or a tag, with the kind of its container; home is 2 in an article, 1 in main.
+
+    linked: its block is one of links.
+    """
 
-    __slots__ = ("boilerplate", "context", "home", "tag", "text", "words")
+    __slots__ = ("boilerplate", "context", "home", "linked", "tag", "text", "words")
 
     def __init__(self, tag: str, text: str, words: int, context: str, boilerplate: bool, home: int):
         self.tag, self.text, self.words, self.context, self.boilerplate, self.home = tag, text, words, context, boilerplate, home
+        self.linked = False
+
+    @property
+    def inline(self) -> bool:
+        return self.tag.removeprefix("/").split(".")[0] in INLINE
 
     @property
     def key(self) -> str:
@@ -103,21 +134,43 @@ def tokens(page: str) -> list[Token]:
                     break
             out.append(Token("/" + name, "", 0, kind, plain, home))
             continue
-        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(raw))
+        given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw, found.end())} if found and len(raw) > found.end() + 1 else {}
+        marks = " ".join(v for k, v in given.items() if k in ("class", "id", "role") and v)
         own = f"{name}.{marks.lower()}" if marks and name not in INLINE else name
+        if name not in INLINE and stack[-1][0] == "p":  # a paragraph ends where the next block begins
+            opened[stack.pop()[0]] -= 1
+            _, kind, plain, home = stack[-1]
+        outer, inside = plain, any(opened[m] for m in MAIN)
+        if name not in MAIN:
+            unshown = "hidden" in given or bool(UNSHOWN.search(given.get("style", "")))
+            plain = plain or name in BOILERPLATE or (name == "header" and not inside) or unshown or (bool(marks) and marked(marks, inside))
         if name in CONTAINERS and not raw.endswith("/>"):
-            outer = plain
-            if name in MAIN:
-                plain = False
-            else:
-                inside = any(opened[m] for m in MAIN)
-                plain = plain or name in BOILERPLATE or (name == "header" and not inside) or bool(MARKS.search(marks))
+            plain = plain and name not in MAIN
             stack.append((name, own, plain, max(home, {"article": 2, "main": 1}.get(name, 0)) if not (name in MAIN and outer) else 0))
             opened[name] += 1
-        elif name in BOILERPLATE:
-            plain = True
+        elif name not in VOID and not raw.endswith("/>") and (plain != outer or opened[name]):  # a marked element, or one of its name within it
+            stack.append((name, kind, plain, home))
+            opened[name] += 1
         out.append(Token(own if name in CONTAINERS else name, "", 0, kind, plain, home))
-    return out
+    return with_links(out)
+
+
+def with_links(seq: list[Token]) -> list[Token]:
+    """seq with linked set on the tokens of blocks whose words stand in links by the share of LINKED or more."""
+    start, depth, words, links = 0, 0, 0, 0
+    for i, t in enumerate([*seq, Token("/body", "", 0, "body", False, 0)]):
+        if t.tag and not t.inline:
+            if links and links >= LINKED * words:
+                for own in seq[start:i]:
+                    own.linked = True
+            start, depth, words, links = i + 1, 0, 0, 0
+        elif t.tag == "a":
+            depth = 1  # links don't nest
+        elif t.tag == "/a":
+            depth = 0
+        words += t.words
+        links += t.words if depth else 0
+    return seq
 
 
 def outside_and_inside(page: str) -> tuple[Counter, Counter]:
@@ -129,6 +182,8 @@ def outside_and_inside(page: str) -> tuple[Counter, Counter]:
         key, n = (t.key, 1) if t.tag else (f"words in {t.context}", t.words)
         if n and (t.tag or not t.boilerplate):
             counts[inside][key] += n
+        if t.linked and t.words:
+            counts[inside]["words in links"] += t.words
         if t.tag.split(".")[0] == "article":
             inside = 1
     return counts
@@ -143,6 +198,7 @@ class Weights:
         # an element's name alone never mutes its words
         self.mute = {k.removeprefix("words in ") for k, x in odds.items() if k.startswith("words in ") and "." in k and x > 0}
         self.mute = {k for k in self.mute if k.split(".")[0] not in MAIN}
+        self.mute_links = odds.get("words in links", 1.0) > 0  # without any such block, links count as menus
         self.unseen = -0.5
 
     def weight(self, t: Token) -> float:
@@ -171,11 +227,20 @@ class Weights:
                 best, span = total, (start, i + 1)
         return span
 
+    def trimmed(self, seq: list[Token], begin: int, end: int) -> tuple[int, int]:
+        """The region without blocks of links at its begin and its end, outside of the article."""
+        edge = lambda t: t.tag or not t.words or self.muted(t) or (t.linked and not t.home)
+        while self.mute_links and begin < end and edge(seq[begin]):
+            begin += 1
+        while self.mute_links and begin < end and edge(seq[end - 1]):
+            end -= 1
+        return begin, end
+
     def extract(self, page: str | None) -> str:
         if not page:
             return ""
         seq = tokens(page)
-        begin, end = self.region(seq)
+        begin, end = self.trimmed(seq, *self.region(seq))
         blocks: list[str] = []
         block: list[str] = []
         for t in seq[begin:end]:

@@ -128,6 +128,36 @@ def test_articles_keep_lists_tables_and_links(spark):
     assert {k: weights.extract(p) for k, p in pages.items()} == dict.fromkeys(pages, want)
 
 
+def test_marks_of_articles():
+    """Sections of an article stay whatever their names contain; adverts and what is hidden go, in any element; menus by link density."""
+    weights = html_regions.Weights({"words in links": 60, "words in nav": 60, "nav": 9, "/nav": 9, "li": 40, "/li": 40, "a": 40, "/a": 40, "div": 9, "/div": 9}, {"p": 90, "/p": 90, "words in article": 900, "a": 40, "/a": 40, "li": 40, "/li": 40})
+    extract = weights.extract
+    for mark in ('section id="side-effects"', 'section id="related-work"', 'div class="search-results"', 'div class="article-header"', 'div class="header"', 'p class="alert-levels"'):
+        end = mark.split()[0]
+        assert extract(f"<article><p>One two.</p><{mark}>Some words here.</{end}><p>Last one.</p></article>") == "One two. Some words here. Last one."
+    for mark in ('p class="advert"', "p hidden", "p hidden=hidden", 'div class="ad-box"', 'span class="sponsored"', 'section class="reader-comments"', "aside", 'p style="display: none"', "div class=newsletter"):
+        end = mark.split()[0]
+        assert extract(f"<article><p>One two.</p><{mark}>Buy <{end}>our</{end}> pills now</{end}><p>Last one.</p></article>").replace(" our", "").replace(" pills now", "") == "One two. Last one."
+    assert extract('<article><p>One<p class="advert">Buy now<p>Last</article>') == "One Last"
+    assert extract('<article><p title="is hidden here">One</p><p data-x="class=ad">two</p></article>') == "One two"
+    text = "".join(f"<p>Paragraph {k} of the main text, with <a href=x>a link</a> in it.</p>" for k in range(4))
+    want = " ".join(f"Paragraph {k} of the main text, with a link in it." for k in range(4))
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>About us</a></li></ul>"
+    for top, bottom in ((f"<div class=top>{menu}</div>", "<div class=bottom><a href=d>Imprint</a> <a href=e>Contact</a></div>"), (f"<div>{menu}</div>", f"<div>{menu}</div>"), ('<div class="site-header">Our own site of words</div>', '<div class="cookie-banner">We use cookies for all of this and that</div>')):
+        assert extract(f"<body>{top}<div class=content><h1>Head</h1>{text}</div>{bottom}</body>") == f"Head {want}"
+        assert extract(f"<body>{top}<main><h1>Head</h1>{menu}{text}</main>{bottom}</body>") == f"Head Home News About us {want}"
+
+
+def test_awkward_pages(spark):
+    """A very long page, columns named as the results, ties, no pages at all."""
+    page = "<article>" + "".join(f"<p>word{k} and more</p>" for k in range(60_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "u", page, "old", 3), (2, "u", "<div>a b</div><nav><ul></ul></nav><div>c d</div>", None, None), (None, None, None, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
+    weights = html_regions.fit(pages)
+    out = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_regions.extracted(pages, weights).collect()}
+    assert out[1][0] == " ".join(f"word{k} and more" for k in range(60_000)) and out[1][1] == len(out[1][0]) and out[None] == ("", 0)
+    assert out[2][0] == "a b" and html_regions.extracted(pages.limit(0), html_regions.fit(pages.limit(0))).count() == 0
+
+
 # 4 languages, 8 quality
 
 
