@@ -120,8 +120,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> l
     """The models' ratios, the ordinary one also from words of SAMPLE documents that hold no base span."""
     chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # bounded by SAMPLE
-    clean = texts.where(~F.col("text").rlike("|".join(f"(?:{pattern})" for pattern, _, _ in PATTERNS.values())))
-    words = clean.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    base = F.col("text").rlike("|".join(f"(?:{pattern})" for pattern, _, _ in PATTERNS.values()))
+    found = F.when(~base, F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0)))
+    # explode_outer: what explode asks of its array would be pushed below the join, and every text searched
+    words = texts.select(F.explode_outer(found).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
     return log_ratios(labelled_samples(docs.sparkSession), words)
 
 
