@@ -160,4 +160,9 @@ SELECT user_id, max(load) AS peak FROM s GROUP BY user_id HAVING max(load) > 1""
     "e38_deal_states": f"SELECT user_id AS deal_id, {list(workflow.DEAL_STATES)}[max(event_id % 6) + 1] AS state FROM events WHERE event_id % 6 < 5 GROUP BY user_id",
     "a09_board": f"""{_H},{underwriting._METRICS_SQL},\n{underwriting._ISSUES}, i AS (SELECT entity_id, count(*) AS issues FROM issues GROUP BY ALL), l AS (SELECT entity_id, max(period_label) AS latest, max_by(cents, period_label) AS cfads FROM tall WHERE metric = 'cfads' GROUP BY ALL)
 SELECT c_custkey AS entity_id, coalesce(issues, 0) AS issues, latest, cfads FROM customer LEFT JOIN i ON c_custkey = i.entity_id LEFT JOIN l ON c_custkey = l.entity_id""",
+    "t19_name_matches": """WITH n AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part),
+j AS (SELECT p_partkey, jaro_similarity(a, b) AS jaro, CASE WHEN a[1] IS DISTINCT FROM b[1] OR a = '' OR b = '' THEN 0 WHEN a[2] <> b[2] OR least(length(a), length(b)) < 2 THEN 1
+  WHEN a[3] <> b[3] OR least(length(a), length(b)) < 3 THEN 2 WHEN a[4] <> b[4] OR least(length(a), length(b)) < 4 THEN 3 ELSE 4 END AS prefix FROM n WHERE a IS NOT NULL AND b IS NOT NULL),
+s AS (SELECT p_partkey, CAST(round_even((jaro + prefix * 0.1 * (1 - jaro)) * 10000, 0) AS INTEGER) AS points FROM j)
+SELECT p_partkey, points, CASE WHEN points >= 9200 THEN 'high' WHEN points >= 7200 THEN 'mid' ELSE 'low' END AS band FROM part LEFT JOIN s USING (p_partkey)""",
 }
