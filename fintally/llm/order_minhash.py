@@ -13,11 +13,14 @@ its overlap with another's is never below their alignment, so it drops pairs tha
 (the texts of one sketch) never emits all of its pairs: its texts meet one pivot, and only buckets that are not one
 class then are compared further, histogram by histogram. There the largest class of a bucket is dealt out once against
 the blocks of the others. The likeliest partners of each text go first, and what their links leave apart is then
-compared whole. A pair of similarity 0.8 shares no sketch with a chance of about 0.006, one of 0.85 of 0.0002.
+compared whole. A vertex with many links or a label with many members is no key of a shuffle: its label is broadcast.
+
+Recall: a pair of similarity 0.8 whose edits lie at random shares no sketch with a chance of about 0.006, one of 0.85
+of 0.0002. Edits at even distances break the most windows: there about a tenth of the pairs at 0.8 share none.
 
 Cases: a null text is a class of its own; empty or white texts are exact copies of one another; texts of any length
-count whole; repeated rows with one doc_id are one document; a document with a null id gets the class of its text,
-which is null if no text of the class has an id. Ties go to the smallest id. Extra columns are ignored.
+count whole; repeated rows with one doc_id are one document, of which the least text is aligned and kept; a document with a
+null id gets the class of its text, which is null if no text of the class has an id. Ties go to the smallest id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ SMALL_BUCKET, SHARED_TASK = 64, 4000
 FIRST = 3
 #: Pairs that a task aligns, rows that a task compares by histogram, and bytes of links that a task joins, or more.
 PAIRS, ROWS, LINKS = 256, 512, 16 << 20
+#: Rows of one key above which its value is broadcast, and keys that are: of n rows n / HOT keys at most can be that frequent.
+HOT, MOST_HOT = 1 << 14, 1 << 20
 #: Bytes of texts that are sketched at once: their hashes stay in a core's cache.
 CACHED = 1 << 18
 
@@ -254,7 +259,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    texts = written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = written(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_BLOCK).cast("int").alias("blocks"))
     left = blocks.join(texts.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(blocks, "a").join(texts.toDF("b", "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "text")
@@ -277,24 +282,49 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def frequent(rows: DataFrame, key: str) -> DataFrame | None:
+    """The values of key in more than HOT of the rows; None where there are none. Rows of a written() table are counted from its footers."""
+    if rows.count() <= HOT:
+        return None
+    found = written(rows.groupBy(key).count().where(F.col("count") > HOT).select(key))
+    if 0 < found.count() <= MOST_HOT:
+        return found
+    deleted(found)  # with more than MOST_HOT of them, no single one has a large share of the rows
+    return None
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows joined with values, a row for each key; those of hot keys stay where they are and meet a broadcast."""
+    if hot is None:
+        return rows.join(values, key)
+    usual = rows.join(F.broadcast(hot), key, "left_anti").join(values, key)
+    return usual.unionByName(rows.join(F.broadcast(values.join(F.broadcast(hot), key, "left_semi")), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every vertex of the edges (a, b): the least id that it is connected to.
 
     Each round takes the least label among the neighbours, then the label of that label; few rounds for the
-    star-shaped links of pivots. Rounds are written to the shared folder, and the one before is deleted.
+    star-shaped links of pivots. Rounds are written to the shared folder, and the one before is deleted. Neither the
+    neighbours of a hub nor the members of a large class meet in one task: minima are combined before the shuffle, and
+    the labels of hubs and of large classes are broadcast.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
     few = 1 + bytes_of(both) // LINKS  # small tables in few tasks
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).coalesce(few))
+    hubs = frequent(both, "b")
     while True:
-        near = both.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        large = frequent(labels, "label")
+        near = looked_up(both, labels.toDF("b", "label"), "b", hubs).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = labels.toDF("label", "up")
-        new = written(step.join(jump, "label").select("id", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")).coalesce(few))
-        deleted(labels)
+        new = written(looked_up(step, jump, "label", large).select("id", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")).coalesce(few))
+        for each in (labels, *([] if large is None else [large])):
+            deleted(each)
         labels = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            deleted(both)
+            for each in (both, *([] if hubs is None else [hubs])):
+                deleted(each)
             return labels
 
 
@@ -419,15 +449,18 @@ def classify(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, that with the least doc_id; one row of it where rows are repeated.
 
+    Of several rows with one doc_id one with the least text stays, a null text last; rows equal in both are one document.
     Only the ids that go are joined to docs, and the repeated ones if there are any.
     """
     own = F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("class_id").isNull()
     ids = written(classify(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(own).alias("own"), F.count("*").alias("rows")).where("own = 0 or rows > 1"))
-    once = docs.join(written(ids.select(F.col("doc_id").alias("_gone"))), F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = docs.join(written(ids.select("doc_id")), "doc_id", "left_anti")
     repeated = written(ids.where("own > 0").select("doc_id"))
     if not repeated.limit(1).count():
         return once
-    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    of = docs.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    least = of.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,6 +343,63 @@ def test_awkward_classes(spark, awkward):
     assert order_minhash.classify(awkward.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts_keeps_the_least(spark):
+    rows = [(1, "b text of five words here", "s"), (1, "a text of five words here", "t"), (1, None, "u"), (2, "other words stand in this one", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    assert sorted((r["doc_id"], r["text"], r["_gone"]) for r in rows_of(order_minhash.deduplicated(docs))) == [(1, rows[1][1], "t"), rows[3]]
+
+
+def test_components_of_hubs_and_large_classes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    star = [(7, int(i)) for i in range(100, 400)]  # one hub
+    chain = [(i, i + 1) for i in range(1000, 1010)]  # a label that moves in many rounds
+    loose = [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (120, 2)) if a != b]
+    pairs = [(b, a) if i % 3 == 0 else (a, b) for i, (a, b) in enumerate([*star, *chain, (399, 1010), *loose])]
+    parent = {v: v for e in pairs for v in e}
+    for _ in parent:
+        before = dict(parent)
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+        if before == parent:
+            break
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for hot, most in ((10, 1 << 20), (2, 1 << 20), (2, 1)):  # some or most keys are hot; too many are
+        monkeypatch.setattr(order_minhash, "HOT", hot)
+        monkeypatch.setattr(order_minhash, "MOST_HOT", most)
+        assert {r["id"]: r["label"] for r in order_minhash.components(edges).collect()} == parent
+
+
+@pytest.mark.parametrize(("words", "least"), [(100, 0.9), (200, 0.9), (800, 0.9)])
+def test_evenly_spread_edits_share_a_sketch(words, least):
+    """The worst case of the windows: edits at even distances, just above the threshold (0.82)."""
+    rng = np.random.default_rng(words)
+    found, tried = 0, 300
+    for i in range(tried):
+        x = rng.integers(0, 1 << 60, words).astype(np.uint64)
+        y = x.copy()
+        edits = int(words * (1 - 0.82) / (1 + 0.82))  # m / (2 n - m) with m = n - edits
+        y[np.linspace(0, words - 1, edits).astype(int)] = rng.integers(0, 1 << 60, edits).astype(np.uint64)
+        keys = order_minhash.sketches(np.concatenate([x, y]), np.array([words, words]))
+        found += bool(set(keys[0]) & set(keys[1]))
+    assert found >= least * tried
+
+
+def test_near_copies_of_given_documents_against_all(spark):
+    """Every document of an id divisible by 50 aligned with every other one, outside of Spark: at least 0.9 of the pairs are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    split = {r["doc_id"]: r["text"].lower().split() for r in docs.collect()}
+    bags = {k: Counter(v) for k, v in split.items()}
+    near = []
+    for a in (k for k in split if k % 50 == 0):
+        for b in split:
+            n = len(split[a]) + len(split[b])
+            if a != b and min(len(split[a]), len(split[b])) * 10 >= max(len(split[a]), len(split[b])) * 8 and 18 * (bags[a] & bags[b]).total() >= 8 * n:
+                near += [(a, b)] if order_minhash.aligned(split[a], split[b]) > 0 else []
+    assert near
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classify(docs).collect()}
+    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+
+
 # 9 secrets
 
 
