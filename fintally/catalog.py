@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review", "periods", "audit", "recompute", "registry", "streams", "policy", "consensus")
+PLANS = ("underwriting", "reports", "workflow", "portfolio", "pages", "review", "periods", "audit", "recompute", "registry", "streams", "policy", "consensus", "scenarios")
 
 
 def _all(name: str) -> dict:
