@@ -10,8 +10,9 @@ Classes are the connected components.
 
 Scale: exact copies meet by digest in a partly aggregated group. Every text carries a histogram of its hashed words;
 its overlap with another's is never below their alignment, so it drops pairs that cannot pass and loses none. A bucket
-(the texts of one sketch) never emits all of its pairs: its texts meet one pivot, and only buckets that are not one
-class then are compared further, histogram by histogram. There the largest class of a bucket is dealt out once against
+(the texts of one sketch) never emits all of its pairs: its texts meet one pivot, that of most of a text's buckets
+first and the others only from other classes, and only buckets that are not one class then are compared further,
+histogram by histogram. There the largest class of a bucket is dealt out once against
 the blocks of the others. The likeliest partners of each text go first, and what their links leave apart is then
 compared whole. A vertex with many links or a label with many members is no key of a shuffle: its label is broadcast.
 
@@ -401,6 +402,13 @@ def apart_pairs(members: DataFrame, labels: DataFrame, copies: DataFrame, first:
     return found
 
 
+def pivots_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's pivot and a text of it in another class; members: key, rep, pivot."""
+    known = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    own = known.where("rep = pivot").select("key", F.col("label").alias("core"))
+    return known.join(own, "key").where("label <> core").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     """(digest, class_id) of every text of a sketch_table; docs has the texts. class_id is the class's least doc_id."""
     one = [F.first(c).alias(c) for c in ("n", "keys", "histogram")]
@@ -410,13 +418,22 @@ def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("key", "pivot"))
     members = written(rows.join(buckets, "key"))
     deleted(buckets)
-    met = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    met = possible(met, copies)
-    tested = written(met.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g"), "a", "b"))
-    edges = verified(tested.select("a", "b"), docs)
-    tested = tested.select(F.col("l").alias("a"), F.col("g").alias("b"))
+    # a pivot is the least of its bucket, so a < b; each text meets the pivot of most of its buckets first
+    shared = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    nearest = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    tested = written(possible(nearest, copies))
+    edges = verified(tested, docs)
     labels = components(edges)
-    members, used = members.select("key", "rep"), [copies, members, tested, edges, labels]
+    used = [copies, members, tested, edges, labels]
+    # then the other pivots, but for those that are in its class by now
+    others = written(pivots_apart(members, labels).join(tested, ["a", "b"], "left_anti"))
+    more = written(possible(others, copies))
+    used += [others, more]
+    if more.limit(1).count():
+        links = verified(more, docs)
+        edges, tested, labels = edges.union(links), tested.union(more), components(edges.union(links))
+        used += [links, labels]
+    members = members.select("key", "rep")
     for first in (True, False):
         found = apart_pairs(members, labels, copies, first)
         more = written(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
