@@ -57,33 +57,30 @@ def chained(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
     last (heads of the log that is carried on).
     """
     names = [c for c in rows.columns if c not in ("prev_hash", "row_hash")]
-    given = rows.select(*names).withColumn("_head", F.lit(None).cast("string"))
-    if last is not None:
-        begun = last.select("tenant_id", F.col("row_hash").alias("_head"))
-        empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names if c != "tenant_id"]
-        given = given.unionByName(begun.select("tenant_id", *empty, "_head"))
+    given = rows.select(*names)
+    if last is None:
+        given = given.withColumn("_head", F.lit(None).cast("string"))
+    else:
+        # joined and not unioned: a union of inputs that are each dealt by tenant passes for dealt by tenant itself, and its
+        # inputs' partitions are coalesced apart, so that a tenant's rows could be in two tasks
+        begun = last.select(F.col("tenant_id").alias("_t"), F.col("row_hash").alias("_head"))
+        given = given.join(begun, F.col("tenant_id").eqNullSafe(F.col("_t")), "left").drop("_t")
     fields = [given.schema[c] for c in names]
     schema = type(given.schema)(fields).add("prev_hash", "string").add("row_hash", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tenant, held = object(), None
         for batch in batches:
-            kept, previous, own = [], [], []
-            for i, (t, text, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tenant_id", "payload", "_head")), strict=True)):
+            previous, own = [], []
+            for t, text, head in zip(*(batch.column(c).to_pylist() for c in ("tenant_id", "payload", "_head")), strict=True):
                 if t != tenant:
-                    tenant, held = t, None
-                if head is not None:
-                    held = head
-                    continue
-                kept.append(i)
+                    tenant, held = t, head
                 previous.append(held)
                 held = hashlib.sha256(((held or "") + (text or "")).encode()).hexdigest()
                 own.append(held)
-            part = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(previous, pa.string()), pa.array(own, pa.string())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(previous, pa.string()), pa.array(own, pa.string())], names=schema.fieldNames())
 
-    # the head has no id and comes first
-    ordered = given.repartition("tenant_id").sortWithinPartitions("tenant_id", F.asc_nulls_first("id"))
+    ordered = given.repartition("tenant_id").sortWithinPartitions("tenant_id", "id")
     return ordered.mapInArrow(run, schema)
 
 

@@ -50,6 +50,24 @@ def test_chain_is_carried_on_and_breaks_are_found(spark):
     assert found(table.where("tenant_id <> 'b' or id < 2")) == []  # the end of a chain can go unseen
 
 
+def test_a_tenants_rows_meet_its_head_however_partitions_are_coalesced(spark):
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    held = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        noise = F.concat(*(F.sha2(F.concat_ws(":", "id", F.lit(i)), 256) for i in range(12)))
+        first = spark.range(12_000).select((F.col("id") % 3000).alias("tenant"), F.col("id").alias("k"), noise.alias("v"))
+        second = first.withColumn("v", F.when(F.col("k") % 3 == 0, "edited").otherwise(F.col("v")))
+        log = audit.appended(None, audit.changes(first.limit(0), first, "tenant", ["k"]), ["k"], "t", F.lit(None), at)
+        new = audit.appended(log, audit.changes(first, second, "tenant", ["k"]), ["k"], "t", F.lit("me"), at)
+        assert new.agg(F.count("*"), F.count("prev_hash")).first()[:] == (4000, 4000)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def files(path, deal):
     return {p: p.stat().st_mtime_ns for p in Path(path).glob(f"deal_id={deal}/**/*.parquet")}
 
