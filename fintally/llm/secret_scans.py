@@ -40,8 +40,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 MARGIN, LEAST = 12.0, 20
 #: A piece of fewer characters than this belongs to random ones on both sides of it.
 SHORT = 8
-#: Documents whose words train the ordinary model at most: those with the least hash of the id.
-SAMPLE = 2000
 
 # Words of ordinary identifiers, for the labelled samples.
 WORDS = """account address amount array balance batch buffer builder cache calendar channel client cluster column config
@@ -116,14 +114,11 @@ def log_ratios(samples: DataFrame, words: DataFrame | None = None) -> list[float
     return out
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """The models' ratios, the ordinary one also from words of SAMPLE documents that hold no base span."""
-    chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # bounded by SAMPLE
-    base = F.col("text").rlike("|".join(f"(?:{pattern})" for pattern, _, _ in PATTERNS.values()))
-    found = F.when(~base, F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0)))
-    # explode_outer: what explode asks of its array would be pushed below the join, and every text searched
-    words = texts.select(F.explode_outer(found).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+def fit(docs: DataFrame, *, text_col: str = "text") -> list[float]:
+    """The models' ratios, the ordinary one also from the words of all documents that hold no base span."""
+    base = F.col(text_col).rlike("|".join(f"(?:{pattern})" for pattern, _, _ in PATTERNS.values()))
+    found = F.regexp_extract_all(text_col, F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0))
+    words = docs.where(~base).select(F.explode(found).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     return log_ratios(labelled_samples(docs.sparkSession), words)
 
 

@@ -597,3 +597,19 @@ def test_licences_and_secrets_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert license_digests.scanned(docs, license_digests.known_digests(spark)).count() == 0
     assert secret_scans.scan(docs).count() == 0
+
+
+def test_every_labelled_document_counts_in_the_quality_model(spark, monkeypatch):
+    monkeypatch.setattr(quality_neighbours, "SAMPLE", 3)
+    docs = spark.createDataFrame([(i, f"word {i} good text {i % 7}" if i % 2 else f"BUY!!! {i} $$$ NOW {i % 5}") for i in range(90)], "doc_id long, text string")
+    labels = docs.select("doc_id", (secret_scans.F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality_neighbours.fit(docs.union(docs.limit(9)), labels)
+    kept = docs.where(~quality_neighbours.held_out("doc_id"))
+    assert (int(model.n.sum()), round(model.sums.sum())) == (kept.count(), kept.where("doc_id % 2 = 1").count())
+
+
+def test_words_of_every_document_are_ordinary(spark):
+    docs = spark.range(4000).select(secret_scans.F.col("id").alias("doc_id"), secret_scans.F.concat(secret_scans.F.lit("word "), secret_scans.F.when(secret_scans.F.xxhash64("id") > 0, "zqzq").otherwise("word")).alias("text"))
+    last = docs.orderBy(secret_scans.F.xxhash64("doc_id").desc()).limit(100)
+    known, more = secret_scans.fit(docs.join(last, "doc_id", "left_anti")), secret_scans.fit(docs)
+    assert known != more
