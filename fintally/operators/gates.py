@@ -67,9 +67,13 @@ def relations(best: DataFrame, specs: DataFrame) -> DataFrame:
 
 def transcripts(facts: DataFrame) -> DataFrame:
     """G5: a value contradicts the first transcript value of its cell and node."""
-    open_ = facts.where("status <> 'rejected'")
-    first = open_.where("method = 'transcript'").groupBy(*CELL, "node").agg(F.min_by(F.struct("id", "value_cents"), F.struct("created_at", "id")).alias("t"))
-    against = open_.where("method <> 'transcript'").join(first, [*CELL, "node"]).where("value_cents <> t.value_cents")
+    # a window and no join: the facts are read once, and what is asked of the method stays behind their shuffle
+    stated = F.when(F.col("method") == "transcript", F.struct("id", "value_cents"))
+    order = F.when(F.col("method") == "transcript", F.struct("created_at", "id"))
+    known = facts.where("status <> 'rejected'").withColumn("t", F.min_by(stated, order).over(Window.partitionBy(*CELL, "node")))
+    against = known.where("method <> 'transcript' and value_cents <> t.value_cents")
+    # a null of a cell's key equals none
+    against = against.where("entity_id is not null and period_label is not null and node is not null")
     return _issue(against, "G5", F.col("node"), F.array("id", "t.id"), F.abs(F.col("value_cents") - F.col("t.value_cents")), "critical")
 
 

@@ -17,11 +17,11 @@ SPECS = (
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.best_facts(facts(spark, sf_dir).where("status = 'accepted'"))
+    return ledger.best_facts(facts(spark, sf_dir, by_entity=True).where("status = 'accepted'"))
 
 
 def open_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.best_facts(facts(spark, sf_dir).where("status <> 'rejected'"))
+    return ledger.best_facts(facts(spark, sf_dir, by_entity=True).where("status <> 'rejected'"))
 
 
 def tall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def specs(spark: SparkSession) -> DataFrame:
 
 
 def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.run(facts(spark, sf_dir), open_best(spark, sf_dir), NODES, specs(spark))
+    return gates.run(facts(spark, sf_dir, by_entity=True), open_best(spark, sf_dir), NODES, specs(spark))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +169,8 @@ QUERIES = {
     "e12_gate_identity": lambda s, d: gates.identity(open_best(s, d)),
     "e13_gate_tie_out": lambda s, d: gates.tie_out(facts(s, d)),
     "e14_gate_relations": lambda s, d: gates.relations(open_best(s, d), specs(s)),
-    "e15_gate_transcripts": lambda s, d: gates.transcripts(facts(s, d)),
-    "e16_gate_swings": lambda s, d: gates.swings(facts(s, d)),
+    "e15_gate_transcripts": lambda s, d: gates.transcripts(facts(s, d, by_entity=True)),
+    "e16_gate_swings": lambda s, d: gates.swings(facts(s, d, by_entity=True)),
     "e17_all_issues": all_issues,
     "a12_blocked_facts": lambda s, d: gates.blocked(all_issues(s, d)),
     "e18_confidence": scored,
