@@ -18,8 +18,21 @@ PARTITIONS = ("deal_id", "scenario_id")
 
 
 def changed_deals(before: DataFrame, after: DataFrame, key: list[str], deal: str = "deal_id") -> DataFrame:
-    """deal_id of each deal with a fact that came, went or changed."""
-    return changes(before, after, deal, key).select(F.col("tenant_id").alias("deal_id")).distinct()
+    """deal_id of each deal with a fact that came, went or changed: the deals of the change feed of both versions.
+
+    Rows are compared as they are, the least of several of a key. They are grouped and joined by deal and key, which
+    needs no shuffle where the facts are dealt by deal. Rows without a deal are compared by the feed itself.
+    """
+    row = F.struct(*after.columns)
+    old, new = (df.select(*after.columns).where(F.col(deal).isNotNull()).groupBy(deal, *key).agg(F.min(row).alias(side)) for df, side in ((before, "before"), (after, "after")))
+    o = old.select(*(F.col(n).alias(f"_{n}") for n in (deal, *key)), "before")
+    same = F.col(deal) == F.col(f"_{deal}")
+    for n in key:
+        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    both = new.join(o, same, "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    known = both.select(F.coalesce(deal, f"_{deal}").alias("deal_id")).distinct()
+    none = changes(*(df.where(F.col(deal).isNull()) for df in (before, after)), deal, key)
+    return known.unionByName(none.select(F.col("tenant_id").alias("deal_id")).distinct())
 
 
 def computed(facts: DataFrame, scenarios: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

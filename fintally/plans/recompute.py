@@ -16,7 +16,7 @@ NOW = "2024-02-01 00:00:00"
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Facts before and after: some deals' values differ, some have rejected facts, some have none left; a deal is an entity here."""
-    f = facts(spark, sf_dir).withColumn("deal_id", F.col("entity_id"))
+    f = facts(spark, sf_dir, by_entity=True).withColumn("deal_id", F.col("entity_id"))
     e = F.col("entity_id")
     value = F.when((e % 10 == 3) & (F.col("document_id") % 2 == 0), F.col("value_cents") + 12_345).otherwise(F.col("value_cents"))
     status = F.when((e % 10 == 7) & F.col("node").startswith("is."), F.lit("rejected")).otherwise(F.col("status"))
