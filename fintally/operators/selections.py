@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def filtered(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
@@ -43,9 +44,20 @@ def new_suggestions(suggested: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def notify(events: DataFrame, members: DataFrame, sent: DataFrame, least_tier: int) -> DataFrame:
-    """(event_id, user_id) for every member of the tenant of sufficient tier, unless it was sent before."""
-    due = events.select("event_id", "tenant_id").join(members.where(F.col("tier") >= least_tier).select("tenant_id", "user_id"), "tenant_id")
-    return due.select("event_id", "user_id").distinct().join(sent.select("event_id", "user_id"), ["event_id", "user_id"], "left_anti")
+    """(event_id, user_id) for every member of the tenant of sufficient tier, unless it was sent before.
+
+    Events carry whom they were sent to, so that the pairs are shuffled neither for that nor to be told apart: events and
+    members are distinct before they meet, and only users of several tenants can then make one pair twice.
+    """
+    sent_to = sent.groupBy("event_id").agg(F.collect_set("user_id").alias("_sent"))
+    due = events.select("event_id", "tenant_id").distinct().join(sent_to, "event_id", "left")
+    users = members.where(F.col("tier") >= least_tier).select("tenant_id", "user_id").where("tenant_id is not null").distinct()
+    users = users.withColumn("_tenants", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
+
+    def pairs(some: DataFrame) -> DataFrame:
+        return due.join(some, "tenant_id").where(~F.coalesce(F.array_contains("_sent", F.col("user_id")), F.lit(False))).select("event_id", "user_id")
+
+    return pairs(users.where("_tenants = 1")).unionByName(pairs(users.where("_tenants > 1")).distinct())
 
 
 def family(text: Column) -> Column:
