@@ -1,7 +1,9 @@
 """Shuffles that queries share or do without."""
 
+from pyspark.sql import functions as F
+
 from fintally.model import facts
-from fintally.operators import gates, recompute
+from fintally.operators import gates, matching, recompute, selections
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,21 @@ def test_changed_deals_of_nulls(spark):
     before, after = of([(1, None, 1), (1, "a", 2), (2, "a", 2), (None, "x", 1), (3, "c", None)]), of([(1, None, 1), (1, "a", 2), (2, "a", 3), (None, "x", 2), (3, "c", None), (4, None, None)])
     assert sorted((r[0] for r in recompute.changed_deals(before, after, ["id"]).collect()), key=str) == [2, 4, None]
     assert recompute.changed_deals(before, before, ["id"]).count() == 0
+
+
+def test_notifications_are_not_shuffled(spark):
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    events = of([(1, 1), (1, 1), (1, 2), (2, 1), (None, 1), (3, None)], "event_id long, tenant_id long")
+    members = of([(1, 10, 2), (1, 10, 3), (2, 10, 2), (1, 11, 2), (1, 12, 1), (2, None, 2), (None, 13, 2)], "tenant_id long, user_id long, tier int")
+    got = selections.notify(events, members, of([(1, 11), (2, None), (None, 10)], "event_id long, user_id long"), 2)
+    want = [(1, 10), (1, None), (2, 10), (2, 11), (None, 10), (None, 11)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert plan(got).count("LeftAnti") == 0
+
+
+def test_equal_mappings_meet_no_label(spark):
+    labels = spark.createDataFrame([(1, "net sales of goods")], "tenant_id long, label string")
+    pool = spark.range(500).select(F.lit(1).cast("long").alias("tenant_id"), F.lit("net sales of goods").alias("known"), F.concat(F.lit("node"), "id").alias("node"), F.col("id").alias("position"))
+    got = matching.map_labels(labels, pool, ["node7"])
+    assert [tuple(r) for r in got.collect()] == [(1, "net sales of goods", "node499", "exact_tenant")]
+    assert "max_by(struct(node" in got._jdf.queryExecution().optimizedPlan().toString()
