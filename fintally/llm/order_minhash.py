@@ -12,9 +12,9 @@ Scale: exact copies meet by digest in a partly aggregated group. Every text carr
 its overlap with another's is never below their alignment, so it drops pairs that cannot pass and loses none. A bucket
 (the texts of one sketch) never emits all of its pairs: its texts meet one pivot, that of most of a text's buckets
 first and the others only from other classes, and only buckets that are not one class then are compared further,
-histogram by histogram. There the largest class of a bucket is dealt out once against
+histogram by histogram, by sums of bins first. There the largest class of a bucket is dealt out once against
 the blocks of the others. The likeliest partners of each text go first, and what their links leave apart is then
-compared whole. A vertex with many links or a label with many members is no key of a shuffle: its label is broadcast.
+compared whole. Later links join the classes that are there, whose own links are not read again. A vertex with many links or a label with many members is no key of a shuffle: its label is broadcast.
 
 Recall: a pair of similarity 0.8 whose edits lie at random shares no sketch with a chance of about 0.006, one of 0.85
 of 0.0002. Edits at even distances break the most windows: there about a tenth of the pairs at 0.8 share none.
@@ -42,8 +42,8 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, KEPT = 32, 2
 #: Texts of up to SHORT words are sketched by k-mers of SHORT_WORDS words, those of SIMILARITY * SHORT or more by WORDS.
 SHORT, SHORT_WORDS = 50, 2
-#: Bins of the histogram of hashed words.
-BINS = 128
+#: Bins of the histogram of hashed words, and sums of neighbouring ones that are compared first.
+BINS, COARSE = 512, 128
 #: Members of one pivot that meet in one task, and texts of a bucket in one block.
 PIVOT_BLOCK, BLOCK = 256, 1024
 #: Blocks of up to SMALL_BUCKET texts share a task (SHARED_TASK rows in all, or so).
@@ -138,20 +138,26 @@ def sketches(word: np.ndarray, lengths: np.ndarray, words: int = WORDS) -> np.nd
 
 
 def histograms(word: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The histogram of each text's hashed words, as BINS unsigned 16-bit counts; empty where a count is too large for that."""
+    """The histogram of each text's hashed words, as BINS unsigned counts of 8 bits, or of 16 where one needs them; empty where a count is larger."""
     flat = np.repeat(np.arange(len(lengths)), lengths) * BINS + (word % U(BINS)).astype(np.int64)
     counted = np.bincount(flat, minlength=len(lengths) * BINS).reshape(-1, BINS)
-    return [b"" if row.max(initial=0) > 0xFFFF else row.astype(np.uint16).tobytes() for row in counted]
+    most = counted.max(axis=1, initial=0)
+    return [b"" if m > 0xFFFF else row.astype(np.uint16 if m > 0xFF else np.uint8).tobytes() for row, m in zip(counted, most, strict=True)]
 
 
 def unpacked(column: list[bytes], n: np.ndarray) -> np.ndarray:
     """Rows of counts of histograms; an empty one can overlap with any of the text's n words."""
     out = np.zeros((len(column), BINS), np.int32)
     for i, h in enumerate(column):
-        out[i] = np.frombuffer(h, np.uint16) if h else n[i]
+        out[i] = np.frombuffer(h, np.uint8 if len(h) == BINS else np.uint16) if h else n[i]
     return out
 
 
+def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What each row of counts shares with the row of y at its place."""
+    return np.minimum(x, y).sum(axis=1)
+
+
 def matches(x: list[str], y: list[str], band: int) -> int:
     """The length of the longest common subsequence whose matches lie within the band, by bit-parallel rows.
 
@@ -239,10 +245,11 @@ def possible(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            an, bn = part.column("an").to_numpy(), part.column("bn").to_numpy()
-            x, y = unpacked(part.column("ah").to_pylist(), an), unpacked(part.column("bh").to_pylist(), bn)
-            keep = np.minimum(x, y).sum(axis=1) >= _SHARE * (an + bn) - 1e-6
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, part.num_rows, BLOCK):
+                some = part.slice(at, BLOCK)
+                an, bn = some.column("an").to_numpy(), some.column("bn").to_numpy()
+                shared = overlaps(unpacked(some.column("ah").to_pylist(), an), unpacked(some.column("bh").to_pylist(), bn))
+                yield some.select(["a", "b"]).filter(pa.array(shared >= _SHARE * (an + bn) - 1e-6, pa.bool_()))
 
     return both.select("a", "b", "an", "bn", "ah", "bh").mapInArrow(run, "a long, b long")
 
@@ -329,6 +336,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of components() after more links (a, b), both written() tables: classes are joined, of whose links none is read again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = written(labels.union(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))))
+    sides, used = links.select("a", "b"), [own]
+    for side in ("a", "b"):
+        hot = frequent(links, side)
+        used += [] if hot is None else [hot]
+        sides = looked_up(sides, own.toDF(side, f"{side}_label"), side, hot)
+    apart = written(sides.where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    roots, large = components(apart), frequent(own, "label")
+    moved = own.select("label").distinct().join(roots.toDF("label", "root"), "label", "left")
+    out = written(looked_up(own, moved, "label", large).select("id", F.coalesce("root", "label").alias("label")).coalesce(1 + bytes_of(own) // LINKS))
+    for each in (*used, apart, roots, *([] if large is None else [large])):
+        deleted(each)
+    return out
+
+
 def block_pairs(group: pd.DataFrame, first: bool) -> pd.DataFrame:
     """Pairs across classes that can pass, between the two blocks of a bucket or within its one: key, a, b.
 
@@ -344,13 +369,15 @@ def block_pairs(group: pd.DataFrame, first: bool) -> pd.DataFrame:
     if not len(i):
         return pd.DataFrame(columns=["key", "a", "b"])
     hx, hy = unpacked(x["histogram"].tolist(), n), unpacked(y["histogram"].tolist(), m)
-    if len(i) * 4 < test.size:
-        shared = np.concatenate([np.minimum(hx[i[k : k + BLOCK]], hy[j[k : k + BLOCK]]).sum(axis=1) for k in range(0, len(i), BLOCK)])
-    else:
-        every = np.zeros(test.shape, np.int32)
-        for k in range(BINS):
-            every += np.minimum.outer(hx[:, k], hy[:, k])
-        shared = every[i, j]
+    if len(i) * 4 >= test.size:
+        # sums of bins overlap by no less than the bins do
+        cx, cy = (h.reshape(-1, COARSE, BINS // COARSE).sum(axis=2) for h in (hx, hy))
+        every = np.zeros(test.shape, np.int64)
+        for k in range(COARSE):
+            every += np.minimum.outer(cx[:, k], cy[:, k])
+        keep = every[i, j] >= _SHARE * (n[i] + m[j]) - 1e-6
+        i, j = i[keep], j[keep]
+    shared = np.concatenate([np.zeros(0, np.int64), *(overlaps(hx[i[k : k + BLOCK]], hy[j[k : k + BLOCK]]) for k in range(0, len(i), BLOCK))])
     share = shared / (n[i] + m[j])
     keep = share >= _SHARE - 1e-9
     i, j, share = i[keep], j[keep], share[keep]
@@ -431,21 +458,24 @@ def text_classes(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     used += [others, more]
     if more.limit(1).count():
         links = verified(more, docs)
-        edges, tested, labels = edges.union(links), tested.union(more), components(edges.union(links))
+        tested, labels = tested.union(more), merged(labels, links)
         used += [links, labels]
     members = members.select("key", "rep")
     for first in (True, False):
         found = apart_pairs(members, labels, copies, first)
-        more = written(found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        used += [found, more]
+        # a pair of many buckets is one before it meets the tested ones
+        once = written(found.where("a is not null").select("a", "b").distinct())
+        more = written(once.join(tested, ["a", "b"], "left_anti"))
+        used += [found, once, more]
         if more.limit(1).count():
             links = verified(more, docs)
-            edges, tested, labels = edges.union(links), tested.union(more), components(edges.union(links))
+            tested, labels = tested.union(more), merged(labels, links)
             used += [links, labels]
         # what was held back is compared whole, where the classes are still apart
-        members = members.join(found.where("a is null").select("key").distinct(), "key", "left_semi")
-        if not found.where("a is null").limit(1).count():
+        if not first or not found.where("a is null").limit(1).count():
             break
+        members = written(members.join(found.where("a is null").select("key").distinct(), "key", "left_semi"))
+        used.append(members)
     out = written(copies.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id")))
     for each in used:
         deleted(each)

@@ -369,6 +369,49 @@ def test_components_of_hubs_and_large_classes(spark, monkeypatch):
         assert {r["id"]: r["label"] for r in order_minhash.components(edges).collect()} == parent
 
 
+def test_loosely_similar_texts_of_a_bucket_are_not_aligned_pair_by_pair(spark, monkeypatch):
+    """Texts at 0.6 that share a line: few of their pairs are aligned, and the links among them stay."""
+    rng = np.random.default_rng(8)
+    line, base = [f"l{i}" for i in range(80)], [f"v{k}" for k in rng.integers(0, 300, 600)]
+    texts = {}
+    for i in range(60):
+        t = list(base)
+        for k in rng.choice(600, 90, replace=False):
+            t[k] = f"v{rng.integers(300)}"
+        texts[i] = " ".join(line + t)
+    for i in range(5):  # near copies of five of them
+        texts[100 + i] = texts[i].replace(" v7 ", " w ").replace(" v8 ", " w ")
+    tested = []
+    verified = order_minhash.verified
+    monkeypatch.setattr(order_minhash, "verified", lambda pairs, docs: tested.append(pairs.count()) or verified(pairs, docs))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.classify(docs).collect()}
+    assert got == _classes(texts) and all(got[100 + i] == i for i in range(5))
+    assert sum(tested) < 60 * 59 / 2 / 4
+
+
+def test_later_links_join_the_classes_that_are_there(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 500, (330, 2)) if a != b] + [(i, 600) for i in range(20)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = {r["id"]: r["label"] for r in order_minhash.components(edges).collect()}
+    first, later = (order_minhash.written(edges.where(f"a % 2 = {k}")) for k in (0, 1))
+    for hot in (order_minhash.HOT, 3):
+        monkeypatch.setattr(order_minhash, "HOT", hot)
+        assert {r["id"]: r["label"] for r in order_minhash.merged(order_minhash.components(first), later).collect()} == want
+
+
+def test_histograms_of_any_count_bound_the_overlap():
+    texts = [["a"] * 300 + ["b"], ["a"] * 200, ["a"] * 70_000, ["b", "c"]]
+    word, lengths = order_minhash.word_hashes([" ".join(t) for t in texts])
+    packed = order_minhash.histograms(word, lengths)
+    assert [len(h) for h in packed] == [2 * order_minhash.BINS, order_minhash.BINS, 0, order_minhash.BINS]
+    counts = order_minhash.unpacked(packed, lengths)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            assert order_minhash.overlaps(counts[i : i + 1], counts[j : j + 1])[0] >= (Counter(x) & Counter(y)).total()
+
+
 @pytest.mark.parametrize(("words", "least"), [(100, 0.9), (200, 0.9), (800, 0.9)])
 def test_evenly_spread_edits_share_a_sketch(words, least):
     """The worst case of the windows: edits at even distances, just above the threshold (0.82)."""
