@@ -12,6 +12,9 @@ CURRENCY = "[$\u20ac\u00a3]"
 ABSENT = r"(?i)^(n/?a|none|nil)$"
 #: Thousands in groups of three, by one kind of mark.
 GROUPED = r"^\d{1,3}(?:(?:\.\d{3})+|(?:,\d{3})+|(?:'\d{3})+)$"
+#: Amounts of the common form, which are read without looking for others: dollars with or without commas, up to two decimals.
+_DOLLARS = r"\$?(?:\d{1,12}|\d{1,3}(?:,\d{3}){1,3})(?:\.\d{1,2})?"
+PLAIN = rf"^(?:-?{_DOLLARS}|\({_DOLLARS}\))\z"
 
 
 def let(value: Column, use) -> Column:
@@ -63,6 +66,22 @@ def normalize_amount(text: Column, scale: Column | int = 1, cents_box: Column |
     last one is the decimal mark; groups have three digits; one point before three digits is ambiguous. The digits of a
     cents box stand for the decimals, which must then be absent. A null text reads as an empty one.
     """
+    if cents_box is None and isinstance(scale, int) and 0 < scale <= 1000:
+        return let(F.coalesce(text, F.lit("")), lambda x: _plain_or_any(x, scale))
+    return _any_amount(text, scale, cents_box)
+
+
+def _plain_or_any(text: Column, scale: int) -> Column:
+    """An amount of the common form by its digits alone, any other one, or an absent one, by its marks."""
+    digits = F.translate(text, "$,()-", "").try_cast("decimal(14,2)")
+    cents = (digits * F.when(text.rlike("^[(-]"), -100 * scale).otherwise(100 * scale)).cast("long")
+    none = F.lit(None).cast("string")
+    plain = F.struct(cents.alias("cents"), none.alias("null_reason"), none.alias("rejection"))
+    dash = F.struct(F.lit(None).cast("long").alias("cents"), F.lit("dash").alias("null_reason"), none.alias("rejection"))
+    return F.when(text.rlike(PLAIN), plain).when(text.isin(*"-\u2013\u2014\u2212"), dash).otherwise(_any_amount(text, scale, None))
+
+
+def _any_amount(text: Column, scale: Column | int, cents_box: Column | None) -> Column:
     t = _stripped(F.coalesce(text, F.lit("")))
     scale = F.lit(scale) if isinstance(scale, int) else scale
     box = F.lit(None).cast("string") if cents_box is None else _stripped(cents_box)
