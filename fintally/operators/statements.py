@@ -1,7 +1,7 @@
 """Financial statements of laid-out cells: grids, row types by arithmetic, and facts of rows.
 
-A grid's rows are read in order with running sums, which no frame expresses: they are sorted within their task and read
-as a stream, so that a task holds the sums of one grid and not its rows.
+A grid's rows are read in order with running sums, which no frame expresses: they are read as a stream, sorted within their
+task unless grids come whole, so that a task holds the sums of one grid.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fintally.operators.text import normalize_amount
 
 #: Sums equal within so many cents.
 TOLERANCE = 100
+TYPED = "grid_id long, row int, label string, type string, verified boolean"
 #: Sides of a balance sheet are equal within so many cents.
 BALANCE_TOLERANCE = 200
 # Words that claim a total; the bottom line of an income statement.
@@ -27,11 +28,32 @@ GRAND = re.compile(
 BOTTOM = re.compile(r"^net (income|profit|loss)( ?/? ?\((loss|deficit)\))?\s*$", re.IGNORECASE)
 
 
+def _label(first: Column) -> Column:
+    return F.trim(F.concat_ws(" ", F.transform(F.sort_array(first), lambda x: x["text"])))
+
+
 def grid_rows(cells: DataFrame) -> DataFrame:
     """(grid_id, row, label, cells map<int, string>) of cells (grid_id, row, col, text): column 0 is the label, other columns go by their number."""
-    label = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("col") == 0, F.struct("col", "text")))), lambda x: x["text"]))
-    others = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("col") > 0, F.struct("col", "text")))))
-    return cells.groupBy("grid_id", "row").agg(F.trim(label).alias("label"), others.alias("cells"))
+    first = F.collect_list(F.when(F.col("col") == 0, F.struct("col", "text")))
+    others = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("col") > 0, F.struct("col", "text")))))
+    return cells.groupBy("grid_id", "row").agg(_label(first).alias("label"), others.alias("cells"))
+
+
+def rows_of_grids(grids: DataFrame) -> DataFrame:
+    """grid_rows of grids (grid_id, cells array<struct<row, col, text>>) that come whole, in order of rows: nothing is dealt or sorted again.
+
+    Cells may come in any order: they are sorted within their array, and each run of a row is cut out once.
+    """
+    at = lambda i: F.element_at("sorted", i)["row"]
+    starts = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | ~at(i).eqNullSafe(at(F.greatest(i - 1, F.lit(1)))))
+    cut = lambda s, k: F.slice("sorted", s, F.coalesce(F.try_element_at("starts", k + 2), F.size("sorted") + 1) - s)
+    pair = lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"))
+    part = lambda cells, keep: F.transform(F.filter(cells, keep), pair)
+    whole = grids.select("grid_id", F.sort_array("cells").alias("sorted")).select("*", F.when(F.size("sorted") > 0, starts).alias("starts"))
+    # not an inner one, for which Spark would ask the list's size below, and so compute it twice
+    runs = whole.select("grid_id", F.explode_outer(F.transform("starts", cut)).alias("run")).where("run is not null")
+    others = F.map_from_entries(part(F.col("run"), lambda c: c["col"] > 0))
+    return runs.select("grid_id", F.col("run")[0]["row"].alias("row"), _label(part(F.col("run"), lambda c: c["col"] == 0)).alias("label"), others.alias("cells"))
 
 
 def typed_rows(rows: DataFrame, *, income: bool = False) -> DataFrame:
@@ -41,23 +63,47 @@ def typed_rows(rows: DataFrame, *, income: bool = False) -> DataFrame:
     decide only where no sum does. A row without cells is a header, or a break without a label. Below the bottom line of
     an income statement all rows are supplemental.
     """
-    amounts = F.transform_values("cells", lambda _, v: normalize_amount(v)["cents"])
-    read = rows.select("grid_id", "row", "label", F.map_keys("cells").alias("cols"), F.map_values(amounts).alias("cents"))
+    # the rows of a grid follow each other in one task
+    ordered = _read(rows).repartition("grid_id").sortWithinPartitions("grid_id", "row")
+    return ordered.mapInArrow(_running(income), TYPED)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def typed_rows_of_grids(grids: DataFrame, *, income: bool = False) -> DataFrame:
+    """typed_rows of grids as rows_of_grids takes them, whose rows follow each other as they are."""
+    return _read(rows_of_grids(grids)).mapInArrow(_running(income), TYPED)
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """Rows with the numbers of their columns and the cents that are read there."""
+    cents = F.transform(F.map_values("cells"), lambda v: normalize_amount(v)["cents"])
+    return rows.select("grid_id", "row", "label", F.map_keys("cells").alias("cols"), cents.alias("cents"))
+
+
+def _running(income: bool):
+    """Types of rows in order, of Arrow batches of _read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            out = []
-            for grid, row, label, cols, cents in batch.itertuples(index=False):
+            grids, rows, labels = (batch.column(k) for k in range(3))
+            kinds, proofs = [], []
+            for grid, label, cols, cents in zip(grids.to_pylist(), labels.to_pylist(), _lists(batch.column(3)), _lists(batch.column(4)), strict=True):
                 if state is None or state.grid != grid:
                     state = Running(grid, income)
-                values = {} if cols is None else {c: int(v) for c, v in zip(cols, cents, strict=True) if v is not None and v == v}
-                out.append((grid, row, label, *state.read(label, cols is not None and len(cols) > 0, values)))
-            yield pd.DataFrame(out, columns=["grid_id", "row", "label", "type", "verified"])
+                values = {c: v for c, v in zip(cols, cents, strict=True) if v is not None}
+                kind, verified = state.read(label, bool(cols), values)
+                kinds.append(kind)
+                proofs.append(verified)
+            arrays = [grids, rows, labels, pa.array(kinds, pa.string()), pa.array(proofs, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["grid_id", "row", "label", "type", "verified"])
 
-    # the rows of a grid follow each other in one task
-    ordered = read.repartition("grid_id").sortWithinPartitions("grid_id", "row")
-    return ordered.mapInPandas(run, "grid_id long, row int, label string, type string, verified boolean")
+    return run
+
+
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, none for a null."""
+    flat, ends = column.values.to_pylist(), column.offsets.to_pylist()
+    return (flat[a:b] if valid else [] for a, b, valid in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False))
 
 
 class Running:
