@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fintally import model
 from fintally.operators import matching, statements, text
 from fintally.plans import portfolio, reports
 
@@ -49,3 +50,10 @@ def test_common_amounts_are_read_as_all_others(spark):
     for scale in (1, 1000):
         both = df.select("x", text.normalize_amount(F.col("x"), scale).alias("a"), text._any_amount(F.col("x"), scale, None).alias("b"))
         assert both.where("not (a <=> b)").collect() == []
+
+
+def test_facts_by_entity_are_dealt_to_bounded_tasks(spark):
+    assert model.parts_of(spark.range(1001), 100) == 11
+    assert model.parts_of(spark.range(1001), 1000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a number that is given isn't coalesced to tasks that spill
+    assert "REPARTITION_BY_NUM" in model.facts(spark, "/root/testdata/sf0.001", by_entity=True)._jdf.queryExecution().executedPlan().toString()
