@@ -35,7 +35,8 @@ class Limiter(StatefulProcessor):
             self.pending.appendList(events)
             # one timer for all: the first to be ready; it sets the next one
             self.handle.registerTimer(min(events)[0] // 1000 + 1)
-        yield pd.DataFrame({"user_id": [], "event_id": [], "allowed": []})
+        # no frame where there is no row: one for each user and batch costs more than its state
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
@@ -57,7 +58,7 @@ class Limiter(StatefulProcessor):
         elif opened is not None and (opened + self.us) // 1000 < passed:
             # no event can fall into this window any more, and the next one opens another
             self.window.clear()
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
+        return iter([pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])] if out else ())
 
     def close(self) -> None:
         pass
