@@ -40,9 +40,9 @@ class Limiter(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.pending.get()) if self.pending.exists() else []
+        waiting = sorted(self.pending.get())
         ready, later = [x for x in waiting if x[0] // 1000 < passed], [x for x in waiting if x[0] // 1000 >= passed]
-        opened, used = self.window.get() if self.window.exists() else (None, 0)
+        opened, used = self.window.get() or (None, 0)
         out = []
         for us, event in ready:
             if opened is None or us - opened >= self.us:
