@@ -30,6 +30,8 @@ from fintally.llm.common import slices, table
 MARK = "▁"
 #: Characters of the cuts that one worker's memo holds; it is emptied when over, which bounds memory and changes no result.
 MEMO_CHARS = 5_000_000
+#: Bytes of texts that are cut at once: their words, as Python strings, take several times that.
+TEXT_BYTES = 1 << 20
 #: Cuts below this length share the rounds of one array agenda; longer ones have a heap each.
 SHORT_CHARS = 128
 NO_PIECE = 1 << 30
@@ -144,8 +146,7 @@ class MergeVocabulary:
     def learn(self, cuts: set[str]) -> None:
         """Encodes cuts that the memo lacks and checks all of them against the library."""
         if self.memo_chars > MEMO_CHARS:
-            self.memo.clear()
-            self.memo_chars = 0
+            self.forget()
         new = [c for c in cuts if c not in self.memo]
         short = [c for c in new if len(c) < SHORT_CHARS]
         self.memo.update(zip(short, self.encode_short([MARK + c for c in short]) if short else [], strict=True))
@@ -155,6 +156,11 @@ class MergeVocabulary:
                 raise ValueError(f"agenda and library differ on a cut of {len(cut)} characters")
             self.memo_chars += len(cut)
 
+    def forget(self) -> None:
+        """Empties the memo. Workers outlive their tasks and keep the encoder, whose memo would stand beside all later stages."""
+        self.memo, self.memo_chars = {}, 0
+        pa.default_memory_pool().release_unused()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, begin and end ids included, as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
@@ -187,23 +193,26 @@ def encode_texts(df: DataFrame, model_file: str, *, text_col: str = "text", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_file)
         lib = vocab.library
-        for part in slices(batches, text_col):
-            texts = [t or "" for t in part.column(text_col).to_pylist()]
-            encoded = vocab.encode_all(texts)
-            if encoded and lib.encode(texts[0], add_bos=True, add_eos=True) != list(memoryview(encoded[0]).cast("I")):
-                raise ValueError(f"agenda and library differ on a text of {len(texts[0])} characters")
-            counts, digests, decoded, all_ids = [], [], [], []
-            for raw in encoded:
-                ids = memoryview(raw).cast("I").tolist()
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+        try:
+            for part in slices(batches, text_col, TEXT_BYTES):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                encoded = vocab.encode_all(texts)
+                if encoded and lib.encode(texts[0], add_bos=True, add_eos=True) != list(memoryview(encoded[0]).cast("I")):
+                    raise ValueError(f"agenda and library differ on a text of {len(texts[0])} characters")
+                counts, digests, decoded, all_ids = [], [], [], []
+                for raw in encoded:
+                    ids = memoryview(raw).cast("I").tolist()
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(raw).hexdigest())
+                    decoded.append(hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+                    if ids_col:
+                        all_ids.append(ids)
+                columns = [part.column(f.name) for f in kept] + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 if ids_col:
-                    all_ids.append(ids)
-            columns = [part.column(f.name) for f in kept] + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            if ids_col:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+        finally:
+            vocab.forget()
 
     return df.mapInArrow(run, schema)
 

@@ -78,6 +78,24 @@ def test_long_cuts_use_the_heap():
         assert list(memoryview(vocab.encode_all([text])[0]).cast("I")) == vocab.library.encode(text, add_bos=True, add_eos=True)
 
 
+def test_workers_keep_no_memo(spark):
+    """A worker lives on after its task: what it keeps stands beside all later stages of the pipeline."""
+    import pyarrow as pa
+
+    texts = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', hex(id * 7919), hex(id * 104729)) as text")
+    assert sentencepieces.encode_texts(texts, sentencepieces.default_model()).where("n_tokens > 2").count() == 4000
+
+    def kept(batches):
+        from fintally.llm import sentencepieces as here
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(here._loaded)] * batch.num_rows), pa.array([sum(len(v.memo) for v in here._loaded.values())] * batch.num_rows)], names=["loaded", "memo"])
+
+    rows = spark.range(8, numPartitions=4).mapInArrow(kept, "loaded long, memo long").collect()
+    assert any(r.loaded for r in rows)
+    assert not any(r.memo for r in rows)
+
+
 def test_pieces_of_awkward_rows(spark, awkward):
     out = rows_of(sentencepieces.encode_texts(awkward, sentencepieces.default_model(), ids_col="ids"))
     assert len(out) == awkward.count()
