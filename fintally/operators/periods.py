@@ -5,6 +5,8 @@ All of it is expressions and one grouping by grid; a header is read by the first
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +30,9 @@ YEARS = (1990, 2100)
 #: Forms to look for inside a text, in this order: a date alone is a print date there and no period.
 INSIDE = (RANGE, rf"as of {MONTH} \d{{1,2}},? \d{{4}}", TTM, ENDED, rf"\b{DAYS}\b", rf"\b{ONE_MONTH}\b")
 
+#: What every form has, and amounts and most words lack.
+DATED = r"\d{4}|/\d{2}"
+
 #: Rows of a grid that may hold headers.
 HEADER_ROWS = 5
 
@@ -56,7 +61,12 @@ def period_header(text: Column) -> Column:
     kind is fiscal_year, interim or ttm; a point in time starts and ends on its day.
     """
     # a lambda's body is interpreted: as generated code it would pass the size of a method
-    return F.transform(F.array(F.trim(F.regexp_replace(F.lower(text), r"[\s\u00a0]+", " "))), _named)[0]
+    return F.when(text.rlike(DATED), _once(F.trim(F.regexp_replace(F.lower(text), r"[\s\u00a0]+", " ")), _named))
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), for which value is computed once, however often it is named there."""
+    return F.transform(F.array(value), of)[0]
 
 
 def _named(t: Column) -> Column:
@@ -65,7 +75,7 @@ def _named(t: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(t, f"^{pattern}$", k)
     number = lambda pattern, k: part(pattern, k).try_cast("int")
     month = lambda pattern, k: F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part(pattern, k), 1, 3)).cast("int")
-    fy = lambda y: _period("fiscal_year", F.concat(F.lit("FY"), y), _first(y, F.lit(1)), F.last_day(_first(y, F.lit(12))))
+    fy = lambda year: _once(year, lambda y: _period("fiscal_year", F.concat(F.lit("FY"), y), _first(y, F.lit(1)), F.last_day(_first(y, F.lit(12)))))
     in_month = lambda first, d: d.between(1, F.dayofmonth(F.last_day(first)))
 
     ttm = F.last_day(_first(number(TTM, 2), month(TTM, 1)))
@@ -73,7 +83,8 @@ def _named(t: Column) -> Column:
     quarter = _first(number(QUARTER, 3), q * 3 - 2)
     since, until = _first(number(RANGE, 3), month(RANGE, 1)), _first(number(RANGE, 3), month(RANGE, 2))
     whole_year = (month(RANGE, 1) == 1) & (month(RANGE, 2) == 12)
-    of_range = F.when(whole_year, fy(number(RANGE, 3))).otherwise(_period("interim", _span_label(since, until), since, F.last_day(until)))
+    span = _once(F.struct(since.alias("since"), until.alias("until")), lambda r: _period("interim", _span_label(r["since"], r["until"]), r["since"], F.last_day(r["until"])))
+    of_range = F.when(whole_year, fy(number(RANGE, 3))).otherwise(span)
     days = _first(number(DAYS, 4), month(DAYS, 1))
     day_1, day_2 = F.date_add(days, number(DAYS, 2) - 1), F.date_add(days, number(DAYS, 3) - 1)
     whole_month = (number(DAYS, 2) == 1) & (day_2 == F.last_day(days))
@@ -92,7 +103,7 @@ def _named(t: Column) -> Column:
     of_span = F.when(year_end, fy(number(ENDED, 4))).when(words != "period", _period(F.when(rolling, "ttm").otherwise("fiscal_year"), ended_label, began, ended))
 
     as_of = F.date_add(_first(number(AS_OF, 3), month(AS_OF, 1)), number(AS_OF, 2) - 1)
-    of_day = _period(F.when((month(AS_OF, 1) == 12) & (number(AS_OF, 2) == 31), "fiscal_year").otherwise("interim"), F.concat(F.lit("As of "), as_of.cast("string")), as_of, as_of)
+    of_day = _once(as_of, lambda d: _period(F.when(F.date_format(d, "MM-dd") == "12-31", "fiscal_year").otherwise("interim"), F.concat(F.lit("As of "), d.cast("string")), d, d))
     year = number(MONTH_END, 3)
     numeric = _first(F.when(F.length(part(MONTH_END, 3)) == 2, year + 2000).otherwise(year), number(MONTH_END, 1))
     y = number(YEAR, 1)
@@ -101,7 +112,7 @@ def _named(t: Column) -> Column:
         .when(fits(QUARTER), _period("interim", F.concat(F.lit("Q"), q, F.lit(" "), number(QUARTER, 3)), quarter, F.last_day(F.add_months(quarter, 2))))
         .when(fits(RANGE) & (since <= until), of_range)
         .when(fits(DAYS) & days_fit, _period("interim", days_label, day_1, day_2))
-        .when(fits(ONE_MONTH), _period("interim", _ym(one), one, F.last_day(one)))
+        .when(fits(ONE_MONTH), _once(one, lambda d: _period("interim", _ym(d), d, F.last_day(d))))
         .when(fits(ENDED) & in_month(ended_in, number(ENDED, 3)), of_span)
         .when(fits(AS_OF) & in_month(_first(number(AS_OF, 3), month(AS_OF, 1)), number(AS_OF, 2)), of_day)
         .when(fits(MONTH_END) & (number(MONTH_END, 2) == F.dayofmonth(F.last_day(numeric))), _period("interim", _ym(numeric), numeric, F.last_day(numeric)))
@@ -113,7 +124,7 @@ def period_in_text(text: Column) -> Column:
     """The period that a text mentions: of the first form of INSIDE with a match that names one, its first such match."""
     found = [F.regexp_extract_all(F.lower(text), F.lit(f"({form})"), F.lit(1)) for form in INSIDE]
     named = F.filter(F.transform(F.flatten(F.array(*found)), period_header), lambda p: p.isNotNull())
-    return F.try_element_at(named, F.lit(1))
+    return F.when(text.rlike(DATED), F.try_element_at(named, F.lit(1)))
 
 
 def bound_columns(cells: DataFrame, titles: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fintally.model import parts_of
 from fintally.operators import periods
 from fintally.plans.portfolio import K, case, case_sql, orders
 
@@ -51,12 +52,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDTHS = (1, 3, 12, 12, 5, 13)
+#: Grids of one task, or so.
+GRIDS = 10_000
 
 
 def grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A grid and its titles for each order, of six styles by key: months and their total; with a gap; of a calendar year;
-    without headers, of one and of two columns; with a column that is no period."""
+    without headers, of one and of two columns; with a column that is no period. Orders are dealt by grid before they become
+    cells and titles, whose reading is most of the work: so it has as many tasks as the grids need, not as few as the files have."""
     o = _dated(spark, sf_dir).select(F.col(K).alias("grid_id"), "day", (F.col(K) % 6).alias("style"), case(F.col(K) + F.col("o_custkey"), WIDTHS).alias("n"))
+    o = o.repartition(parts_of(orders(spark, sf_dir), GRIDS), "grid_id")
     style, day = F.col("style"), F.col("day")
     start = F.trunc(F.when(style == 2, F.add_months(day, 1 - F.month(day))).otherwise(day), "month")
     n = F.when(style == 3, 1).when(style == 4, 2).otherwise(F.col("n"))

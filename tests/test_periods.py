@@ -131,3 +131,11 @@ def test_words_of_grand_totals():
         assert statements.GRAND.match(label), label
     for label in ("Grand total", "Total liabilities", "Total equity", "Total revenue", "Total liabilities and capital", "Total assetsx"):
         assert not statements.GRAND.match(label), label
+
+
+def test_grids_are_dealt_before_they_are_read(spark):
+    """Of few files few tasks would read all cells and titles; no cell is shuffled."""
+    from fintally.plans import periods as plans
+
+    plan = plans.columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan, plan
